@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.operators.grid import complete_grid
 from chalkline.operators.intervals import periods_and_gaps
 from chalkline.operators.spikes import Reading, flag_readings
 from chalkline.sources.tables import load
 
 READINGS = (Reading("residual_motion_max"), Reading("max_ball_speed", zero_is_normal=True), Reading("camera_motion_magnitude"))
+SERIES = ("audio_onset", "residual_motion_mean")
 
 
 def p1_flags(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +25,17 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_flags(spark, folder).select("row_id", "field_name")
 
 
+def p2_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Both series of every job, one value a second, missing seconds filled or marked."""
+    rows = load(spark, folder, "frame_features", "job_id", "t", *SERIES)
+    return complete_grid(rows, ["job_id"], "t", SERIES)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Seconds of a sitting without a usable reading of the series."""
+    return p2_grid(spark, folder).where("status <> 'observed'").select("job_id", "field_name", "slot")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Periods and gaps of shots and scenes."""
     parts = [
@@ -34,7 +47,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("job_id", "table_name", "kind", "start_ms", "end_ms")
 
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p2_found": p2_found, "p2_grid": p2_grid, "p6_found": p6_found}
 
 _P6 = """
 , {t}_v as (select distinct job_id, cast(round({a} * 1000) as bigint) lo, cast(round({b} * 1000) as bigint) hi from {t}
@@ -48,7 +61,21 @@ _P6 = """
           union all select job_id, '{t}', 'gap', hi, nx from {t}_n where nx - hi < 3600000)
 """
 
+_P2 = """
+with r as (select job_id, t, floor(t)::bigint slot, audio_onset a, residual_motion_mean m from frame_features where isfinite(t)),
+d as (select distinct job_id, t from r),
+g as (select *, case when t - lag(t) over (partition by job_id order by t) < 3600 then 0 else 1 end h from d),
+s as (select *, sum(h) over (partition by job_id order by t rows unbounded preceding) sitting from g),
+b as (select job_id, sitting, floor(min(t))::bigint lo, floor(max(t))::bigint hi from s group by all),
+c as (select job_id, unnest(generate_series(lo, hi)) slot from b),
+v as (select job_id, slot, bool_or(coalesce(isfinite(a) and a >= 0, false)) a, bool_or(coalesce(isfinite(m) and m >= 0, false)) m from r group by all)
+select c.job_id, f.field_name, c.slot from c cross join (values ('audio_onset'), ('residual_motion_mean')) f(field_name)
+left join v on v.job_id = c.job_id and v.slot = c.slot
+where not coalesce(case f.field_name when 'audio_onset' then v.a else v.m end, false)
+"""
+
 SQL = {
+    "p2_found": _P2,
     "p6_found": "with z as (select 1)"
     + _P6.format(t="shots", a="clip_start", b="clip_end")
     + _P6.format(t="scenes", a='"start"', b='"end"')
