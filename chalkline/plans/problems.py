@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.operators.drift import consistent_table, schema_changes
 from chalkline.operators.grid import complete_grid
 from chalkline.operators.intervals import periods_and_gaps
 from chalkline.operators.spikes import Reading, flag_readings
 from chalkline.sources.tables import load
 
 READINGS = (Reading("residual_motion_max"), Reading("max_ball_speed", zero_is_normal=True), Reading("camera_motion_magnitude"))
+#: Columns of the consistent table: type and the names the field has had.
+RAW_COLUMNS = {
+    "cue_strike": ("seconds", ("cue_strike", "cue_strike_timestamp", "strike_time", "cueStrike")),
+    "ball_motion_end": ("seconds", ("ball_motion_end", "end_of_motion", "motion_end", "ballMotionEnd")),
+    "physical_stop_timestamp": ("seconds", ("physical_stop_timestamp", "ball_stop", "stop_timestamp", "physicalStopTimestamp")),
+    "table_observable": ("boolean", ("table_observable", "tableObservable", "table_visible", "tbl_obs", "is_table_observable")),
+    "view_type": ("string", ("view_type", "viewType", "camera_view")),
+    "t": ("double", ("t",)),
+}
 SERIES = ("audio_onset", "residual_motion_mean")
 
 
@@ -36,6 +46,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_grid(spark, folder).where("status <> 'observed'").select("job_id", "field_name", "slot")
 
 
+RAW = ("file_id", "job_id", "written_at", "record_key", "payload")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes of the fields of older analysis files, from file to file."""
+    return schema_changes(load(spark, folder, "raw_records", *RAW))
+
+
+def p4_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The older files as one table, with the casts that failed."""
+    return consistent_table(load(spark, folder, "raw_records", *RAW), RAW_COLUMNS)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Periods and gaps of shots and scenes."""
     parts = [
@@ -47,7 +70,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("job_id", "table_name", "kind", "start_ms", "end_ms")
 
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p2_found": p2_found, "p2_grid": p2_grid, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p2_found": p2_found, "p2_grid": p2_grid, "p4_found": p4_found, "p4_table": p4_table, "p6_found": p6_found}
 
 _P6 = """
 , {t}_v as (select distinct job_id, cast(round({a} * 1000) as bigint) lo, cast(round({b} * 1000) as bigint) hi from {t}
