@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.functions.views import VIEWS, canonical_view
+from chalkline.llm.leak import leaked_items
 from chalkline.llm.nearest import match_nearest
 from chalkline.llm.runs import collapse_runs
 from chalkline.sources.tables import load
@@ -30,7 +31,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("job_id", "shot_id", "anchor", "candidate_id")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold passages of test items."""
+    documents = load(spark, folder, "documents", "doc_id", "text")
+    return leaked_items(documents, load(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
 
 _LETTERS = "regexp_replace(lower(regexp_replace(view_type, '^.*[.:]', '')), '[^a-z]', '', 'g')"
 _NAMES = ", ".join(f"({i}, '{v}', '{v.replace('_', '')}')" for i, v in enumerate(VIEWS))
