@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.functions.views import VIEWS, canonical_view
+from chalkline.llm.language import document_languages
 from chalkline.llm.leak import leaked_items
 from chalkline.llm.nearest import match_nearest
 from chalkline.llm.runs import collapse_runs
@@ -37,7 +38,19 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(documents, load(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
+def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document and of its paragraphs in another one."""
+    return document_languages(load(spark, folder, "documents", "doc_id", "text", "lang"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a missing or wrong label, and paragraphs in another language than the document."""
+    wrong = F.col("label").isNull() | (F.col("label") != F.col("lang"))
+    found = p9_languages(spark, folder).where(F.col("lang").isNotNull() & ((F.col("para_no") > 0) | wrong))
+    return found.select("doc_id", "para_no", "lang")
+
+
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found, "p9_languages": p9_languages}
 
 _LETTERS = "regexp_replace(lower(regexp_replace(view_type, '^.*[.:]', '')), '[^a-z]', '', 'g')"
 _NAMES = ", ".join(f"({i}, '{v}', '{v.replace('_', '')}')" for i, v in enumerate(VIEWS))
