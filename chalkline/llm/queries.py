@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chalkline.functions.views import VIEWS, canonical_view
 from chalkline.llm.language import document_languages
 from chalkline.llm.leak import leaked_items
+from chalkline.llm.mixing import mix_sources
 from chalkline.llm.nearest import match_nearest
 from chalkline.llm.runs import collapse_runs
 from chalkline.sources.tables import load
@@ -38,6 +39,19 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(documents, load(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
 
+TARGETS = ("mix_name", "source", "target_share", "max_repeats", "total_tokens")
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of each mix, with how often each is used."""
+    return mix_sources(load(spark, folder, "documents", "doc_id", "text", "source"), load(spark, folder, "mix_targets", *TARGETS))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """What each source contributes to each mix, against its target."""
+    return mix_sources(load(spark, folder, "documents", "doc_id", "text", "source"), load(spark, folder, "mix_targets", *TARGETS))[1]
+
+
 def p9_languages(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document and of its paragraphs in another one."""
     return document_languages(load(spark, folder, "documents", "doc_id", "text", "lang"))
@@ -50,7 +64,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "para_no", "lang")
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p9_found": p9_found, "p9_languages": p9_languages}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_languages": p9_languages}
 
 _LETTERS = "regexp_replace(lower(regexp_replace(view_type, '^.*[.:]', '')), '[^a-z]', '', 'g')"
 _NAMES = ", ".join(f"({i}, '{v}', '{v.replace('_', '')}')" for i, v in enumerate(VIEWS))
