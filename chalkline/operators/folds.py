@@ -58,11 +58,14 @@ def merge_near(df: DataFrame, gap_s: float, t: str, score: str, evidence: str, e
     """Candidates nearer than `gap_s` to the last one kept fall together: the one with the strictly higher score
     stays, the earlier one on ties; the evidence of both is merged, the winner's values on top."""
     columns = [t, score, evidence, *extra]
-    rows = _sorted(df, keys, [t, F.col(extra[0]) if extra else F.lit(0)], columns)
+    # Maps have no order, so a recording's events are sorted with their evidence as sorted entries.
+    entries = df.withColumn(evidence, F.array_sort(F.map_entries(evidence)))
+    rows = _sorted(entries, keys, [t, F.col(extra[0]) if extra else F.lit(0)], columns)
 
     def merged(low: Column, high: Column) -> Column:
-        keep = F.map_filter(low[evidence], lambda k, _: ~F.map_contains_key(high[evidence], k))
-        return high.withField(evidence, F.map_concat(keep, high[evidence]))
+        own = F.transform(high[evidence], lambda e: e["key"])
+        more = F.filter(low[evidence], lambda e: ~F.array_contains(own, e["key"]))
+        return high.withField(evidence, F.concat(more, high[evidence]))
 
     def step(acc: Column, x: Column) -> Column:
         last = _last(acc)
@@ -75,7 +78,8 @@ def merge_near(df: DataFrame, gap_s: float, t: str, score: str, evidence: str, e
         )
 
     kept = F.aggregate("_a", F.slice("_a", 1, 0), step)
-    return rows.select(*keys, F.explode(kept).alias("_x")).select(*keys, *[f"_x.{c}" for c in columns])
+    found = rows.select(*keys, F.explode(kept).alias("_x")).select(*keys, *[f"_x.{c}" for c in columns])
+    return found.withColumn(evidence, F.map_from_entries(evidence))
 
 
 def spaced(df: DataFrame, gap_s: float, t: str, keys: Sequence[str] = KEYS) -> DataFrame:
