@@ -30,6 +30,8 @@ class Fences:
     least: the upper fence is at least this many medians.
     inner: readings over fence / inner are spikes if they also rise and fall implausibly fast.
     min_run: readings in a stretch stuck at one value.
+    close, pure: a stretch that wavers by less than `close` (relative) is alive, not stuck, if none of its values makes up
+    the part `pure` of it: after rounding, some of its readings are equal by chance.
     context_rows: readings an hour must have for its own sketch to count.
     """
 
@@ -41,6 +43,8 @@ class Fences:
     low_margin: float = 3.0
     inner: float = 1.35
     min_run: int = 9
+    close: float = 0.003
+    pure: float = 0.8
     context_rows: int = 200
     accuracy: float = 0.02
 
@@ -164,20 +168,22 @@ def flag_readings(
     # Readings already flagged form groups of their own, so that a spike does not end a stuck stretch.
     order = Window.partitionBy(*src, "hour", "field", "reason").orderBy("ms", "row")
     before, after = F.lag("value").over(order), F.lead("value").over(order)
+    alike = lambda other: F.abs(F.col(other) - x) <= x * fences.close
     seen = (
         long.withColumn("reason", reason)
         .withColumns({"before": before, "after": after, "_new_ms": F.coalesce((F.col("ms") != F.lag("ms").over(order)).cast("int"), F.lit(1))})
         .withColumn("run", F.sum(F.when(F.col("before") == x, 0).otherwise(1)).over(order))
+        .withColumn("near", F.sum(F.when(alike("before"), 0).otherwise(1)).over(order))
     )
     fast = x * F.col("mid") * 2 > F.col("upper") * F.greatest("before", "after")
     sudden = (x > F.col("upper") / fences.inner) & fast
-    stretch = (F.col("before") == x) | (F.col("after") == x) | F.col("before").isNull() | F.col("after").isNull()
+    stretch = alike("before") | alike("after") | F.col("before").isNull() | F.col("after").isNull()
     kept = (
         seen.withColumn("reason", F.when((F.col("reason") == "") & sudden, "spike").otherwise(F.col("reason")))
         .where((F.col("reason") != "") | stretch)
-        .withColumn("run", F.when(F.col("reason") == "", F.col("run")).otherwise(0))
+        .withColumns({c: F.when(F.col("reason") == "", F.col(c)).otherwise(0) for c in ("run", "near")})
     )
-    groups = kept.groupBy(*src, "hour", "field", "reason", "run").agg(
+    groups = kept.groupBy(*src, "hour", "field", "reason", "near", "run").agg(
         F.min("value").alias("value"),
         F.sum("_new_ms").alias("n"),
         F.bool_or(F.col("before").isNull()).alias("opens"),
@@ -186,13 +192,16 @@ def flag_readings(
     )
     plain = F.col("reason") == ""
     edge = plain & (F.col("opens") | F.col("closes"))
-    groups = groups.where(~plain | edge | (F.col("n") >= fences.min_run))
+    wavering = Window.partitionBy(*src, "hour", "field", "reason", "near")
+    pure = F.col("n") >= fences.pure * F.sum("n").over(wavering)
+    groups = groups.withColumn("pure", pure).where(~plain | edge | (F.col("pure") & (F.col("n") >= fences.min_run)))
     # Only stretches at an hour's edge need their neighbours; the rest is spread by hour.
     along = Window.partitionBy(*src, "field", "lane").orderBy("hour", "run")
     joins = edge & F.col("opens") & F.lag("closes").over(along) & (F.lag("value").over(along) == F.col("value"))
     linked = groups.withColumn("lane", F.when(edge, F.lit(-1)).otherwise(F.xxhash64("hour", "reason", "run") % 4096 + 4096))
     linked = linked.withColumn("chain", F.sum(F.when(joins, 0).otherwise(1)).over(along))
-    total = F.sum("n").over(Window.partitionBy(*src, "field", "lane", "chain"))
+    chain = Window.partitionBy(*src, "field", "lane", "chain")
+    total = F.when(F.bool_and("pure").over(chain), F.sum("n").over(chain)).otherwise(0)
     stuck = plain & (F.col("total") >= fences.min_run) & ~(at_rest & (F.col("value") == 0)) & F.col("hour").isNotNull()
     names = F.element_at(F.array(*[F.lit(r.name) for r in fields]), F.col("field") + 1)
     return (
