@@ -399,7 +399,7 @@ def mark_replays(marks: DataFrame, c: Config = DEFAULT) -> DataFrame:
         signatures = np.array(part["signature"].tolist(), np.float64).reshape(len(part), -1)
         norms = np.linalg.norm(signatures, axis=1)
         live: list[int] = []
-        replay, match = part["explicit"].tolist(), [math.nan] * len(part)
+        replay, match = part["explicit"].tolist(), [None] * len(part)
         t, sure, near = part["t"].tolist(), part["confidence"].tolist(), (part["explicit"] | part["transition"]).tolist()
         for i in range(len(part)):
             for j in live:

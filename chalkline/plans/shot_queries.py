@@ -216,7 +216,7 @@ def replay_links(spark, folder):
         F.bool_or((F.col("scene_cut_score") >= 0.5) & F.col("t").between(F.col("at") - 0.8, F.col("at") + 0.8)).alias("transition"),
     ).withColumnRenamed("at", "t")
     full = signed.join(seen, [*KEYS, "t"], "left").withColumns({x: F.coalesce(x, F.lit(False)) for x in ("explicit", "transition")})
-    return stateful.mark_replays(full).select("job_id", micro("t").alias("t_us"), "replay", F.when(~F.isnan("replay_of"), micro("replay_of")).alias("replay_of"))
+    return stateful.mark_replays(full).select("job_id", micro("t").alias("t_us"), "replay", micro("replay_of").alias("replay_of"))
 
 
 def label_similarity(spark, folder):
