@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +99,47 @@ left join v on v.job_id = c.job_id and v.slot = c.slot
 where not coalesce(case f.field_name when 'audio_onset' then v.a else v.m end, false)
 """
 
+_WIDTH = repr(math.log(1.02 / 0.98))
+
+
+def _quantiles(name: str, source: str, by: str) -> str:
+    rank = lambda q: f"exp((min(case when upto >= floor({q} * (total - 1)) + 1 then bucket end) + 0.5) * {_WIDTH})"
+    return f"""{name}_c as (select {by}, bucket, sum(n) over (partition by {by} order by bucket rows unbounded preceding) upto, sum(n) over (partition by {by}) total from {source}),
+{name} as (select *, greatest(hi * 2.0 * pow(hi / mid, 0.28), mid * 5.5) upper, lo / 3.0 lower from
+  (select {by}, max(total) n, {rank(0.05)} lo, {rank(0.5)} mid, {rank(0.95)} hi from {name}_c group by {by}))"""
+
+
+_P1 = f"""
+with r as (select row_id, job_id, layer, round(t * 1000)::bigint ms, floor(round(t * 1000) / 3600000)::bigint "hour", residual_motion_max v0, max_ball_speed v1, camera_motion_magnitude v2 from frame_features),
+l as (select * from (select *, 0 field, v0 "value" from r union all select *, 1, v1 from r union all select *, 2, v2 from r) where "value" is not null),
+k as (select job_id, layer, "hour", field, floor(ln("value") / {_WIDTH})::int bucket, count(*) n from l where "value" > 0 and "value" < 'infinity'::double group by all),
+km as (select job_id, layer, field, bucket, sum(n) n from k group by all),
+{_quantiles("own", "k", 'job_id, layer, "hour", field')}, {_quantiles("al", "km", "job_id, layer, field")},
+f as (select al.job_id, al.layer, h."hour", al.field, al.mid, greatest(al.upper, least(case when own.n >= 200 then own.upper end, al.upper * 2)) upper,
+   least(al.lower, greatest(case when own.n >= 200 then own.lower end, al.lower / 2)) lower
+   from al join (select distinct job_id, layer, "hour" from k) h on h.job_id = al.job_id and h.layer = al.layer
+   left join own on own.job_id = al.job_id and own.layer = al.layer and own."hour" = h."hour" and own.field = al.field),
+j as (select l.*, upper, lower, mid, case when isnan("value") or "value" < 0 or isinf("value") then 'impossible' when "value" > upper then 'spike' when field <> 1 and "value" < lower then 'dropout' else '' end reason
+   from l left join f using (job_id, layer, "hour", field)),
+w as (select *, lag("value") over o b, lead("value") over o a, ms is distinct from lag(ms) over o fresh from j window o as (partition by job_id, layer, "hour", field, reason order by ms, row_id)),
+x as (select *, case when reason = '' and "value" > upper / 1.35 and "value" * mid * 2 > upper * greatest(b, a) then 'spike' else reason end why,
+   sum(case when b = "value" then 0 else 1 end) over o run, sum(case when abs(b - "value") <= "value" * 0.003 then 0 else 1 end) over o near from w
+   window o as (partition by job_id, layer, "hour", field, reason order by ms, row_id rows unbounded preceding)),
+g as (select job_id, layer, "hour", field, near, run, min("value") v, sum(fresh::int) n, bool_or(b is null) opens, bool_or(a is null) closes from x
+   where why = '' and (abs(b - "value") <= "value" * 0.003 or abs(a - "value") <= "value" * 0.003 or b is null or a is null) group by all),
+p as (select *, n >= 0.8 * sum(n) over (partition by job_id, layer, "hour", field, near) pure from g),
+e as (select *, case when opens and lag(closes) over o and lag(v) over o = v then 0 else 1 end first from p where opens or closes window o as (partition by job_id, layer, field order by "hour", run)),
+c as (select *, sum(first) over (partition by job_id, layer, field order by "hour", run rows unbounded preceding) chain from e),
+t as (select *, case when bool_and(pure) over q then sum(n) over q else 0 end total from c window q as (partition by job_id, layer, field, chain)),
+s as (select job_id, layer, "hour", field, run from t where total >= 9 and not (field = 1 and v = 0) and "hour" is not null
+   union all select job_id, layer, "hour", field, run from p where not (opens or closes) and pure and n >= 9 and not (field = 1 and v = 0)),
+o as (select row_id, field from x where why <> '' union all
+   select row_id, field from x join s using (job_id, layer, "hour", field, run) where why = '')
+select row_id, ['residual_motion_max', 'max_ball_speed', 'camera_motion_magnitude'][field + 1] field_name from o
+"""
+
 SQL = {
+    "p1_found": _P1,
     "p2_found": _P2,
     "p6_found": "with z as (select 1)"
     + _P6.format(t="shots", a="clip_start", b="clip_end")
