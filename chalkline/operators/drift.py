@@ -205,9 +205,8 @@ def consistent_table(lines: DataFrame, columns: dict[str, tuple[str, Sequence[st
     """One typed row per good line: file, group, record, the `columns`, and `failed` casts.
 
     `columns` maps a column to its type and the names its field has had; the first with a value counts. `failed` maps a
-    column to the text that could not be cast (the column then is null). Whole thousandths (milliseconds) of a double
-    are taken back to units where the file has the field as integer and more than 1000 times the decimals' size could
-    not be meant; wrapped and quoted values are unwrapped first.
+    column to the text that could not be cast (the column then is null). Types are Spark's, or seconds: times that are
+    written as decimals in seconds and as whole numbers in milliseconds. Wrapped and quoted values are unwrapped first.
     """
     placed = lines.select(
         F.col(f"`{c.file}`").alias("file_id"), F.col(f"`{c.group}`").alias("job_id"), F.col(f"`{c.record}`").alias("record_key"),
@@ -216,13 +215,15 @@ def consistent_table(lines: DataFrame, columns: dict[str, tuple[str, Sequence[st
     out, failed = {}, []
     for name, (kind, aliases) in columns.items():
         raw = F.coalesce(*[F.try_variant_get("doc", f"$['{a}']", "variant") for a in aliases])
-        text = F.coalesce(F.try_variant_get(raw, "$.value", "string"), F.try_variant_get(raw, "$.v", "string"), F.try_variant_get(raw, "$", "string"))
+        inner = F.coalesce(*[F.try_variant_get(raw, path, "variant") for path in ("$.value", "$.v", "$")])
+        text = F.try_variant_get(inner, "$", "string")
         if kind == "boolean":
             low = F.lower(F.trim(text))
             value = F.when(low.isin("true", "t", "yes", "y", "1"), True).when(low.isin("false", "f", "no", "n", "0"), False)
         elif kind == "seconds":
             number = text.try_cast("double")
-            value = F.when(text.rlike(r"^\s*\d{4,}\s*$"), number / 1000).otherwise(number)
+            whole = (raw_type(inner) == "integer") | ((raw_type(inner) == "string") & text.rlike(r"^\s*\d{4,}\s*$"))
+            value = F.when(whole, number / 1000).otherwise(number)
         else:
             value = text.try_cast(kind)
         out[name] = value

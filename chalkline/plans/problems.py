@@ -57,8 +57,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The older files as one table, with the casts that failed."""
-    return consistent_table(load(spark, folder, "raw_records", *RAW), RAW_COLUMNS)
+    """The older files as one table, with the number of casts that failed in a row."""
+    rows = consistent_table(load(spark, folder, "raw_records", *RAW), RAW_COLUMNS)
+    return rows.withColumn("n_failed", F.size("failed")).drop("failed")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -138,8 +139,58 @@ o as (select row_id, field from x where why <> '' union all
 select row_id, ['residual_motion_max', 'max_ball_speed', 'camera_motion_magnitude'][field + 1] field_name from o
 """
 
+_TEXT = """coalesce(case json_type(v) when 'OBJECT' then coalesce(json_extract_string(v, '$.value'), json_extract_string(v, '$.v'), v::varchar)
+   when 'NULL' then null else json_extract_string(v, '$') end)"""
+_P4 = f"""
+with l as (select file_id, job_id, written_at, record_key, payload::json j from raw_records where json_valid(payload) and json_type(try_cast(payload as json)) = 'OBJECT'),
+k as (select *, unnest(json_keys(j)) name from l),
+e as (select file_id, job_id, written_at, record_key, name, json_extract(j, '$."' || name || '"') v from k),
+y as (select *, case json_type(v) when 'NULL' then null when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'DOUBLE' then 'decimal' else 'integer' end kind,
+   trim({_TEXT}) txt from e),
+x as (select *, case when lower(txt) in ('true', 't', 'yes', 'y', 'on') then '1000' when lower(txt) in ('false', 'f', 'no', 'n', 'off') then '0'
+   when try_cast(txt as decimal(28, 6)) is not null then round(try_cast(txt as decimal(28, 6)) * 1000)::bigint::varchar else txt end plain from y),
+fo as (select job_id, file_id, row_number() over (partition by job_id order by min(written_at), file_id) o from l group by 1, 2),
+tc as (select job_id, file_id, name, kind, count(*) n from x group by all),
+ft as (select job_id, file_id, o, name, arg_max(kind, (n, kind)) filter (kind is not null) kind from tc join fo using (job_id, file_id) group by all),
+isl as (select *, o - row_number() over (partition by job_id, name order by o) g from ft),
+kn as (select *, last_value(kind ignore nulls) over (partition by job_id, name, g order by o rows unbounded preceding) known from isl),
+gone as (select a.job_id, n.file_id, n.o, a.name, a.known from kn a join fo n on n.job_id = a.job_id and n.o = a.o + 1 left join kn b on b.job_id = a.job_id and b.o = a.o + 1 and b.name = a.name where b.name is null),
+new as (select b.job_id, b.file_id, b.o, b.name, b.kind from kn b left join kn a on a.job_id = b.job_id and a.o = b.o - 1 and a.name = b.name where a.name is null and b.o > 1),
+vals as (select job_id, o, record_key, name, min(plain) plain from x join fo using (job_id, file_id) where plain is not null group by all),
+cmp as (select g.job_id, g.o, g.name was, w.name now_, count(*) n, count(distinct a.plain) kinds,
+   bool_and(a.plain = b.plain or coalesce(try_cast(a.plain as hugeint) * 1000 = try_cast(b.plain as hugeint) or try_cast(b.plain as hugeint) * 1000 = try_cast(a.plain as hugeint), false)) fits
+   from gone g join new w on w.job_id = g.job_id and w.o = g.o join vals a on a.job_id = g.job_id and a.o = g.o - 1 and a.name = g.name
+   join vals b on b.job_id = g.job_id and b.o = g.o and b.name = w.name and b.record_key = a.record_key group by all),
+rk as (select *, row_number() over (partition by job_id, o, was order by n desc, kinds desc, now_) i, row_number() over (partition by job_id, o, now_ order by n desc, kinds desc, was) j from cmp where fits),
+ren as (select * from rk where i = 1 and j = 1)
+select file_id, 'renamed' change_kind, was field_name, now_ new_name from ren join fo using (job_id, o)
+union all select file_id, 'removed', name, '' from gone anti join (select job_id, o, was name from ren) using (job_id, o, name)
+union all select file_id, 'added', name, '' from new anti join (select job_id, o, now_ name from ren) using (job_id, o, name)
+union all select b.file_id, 'retyped', b.name, '' from kn b join kn a on a.job_id = b.job_id and a.o = b.o - 1 and a.name = b.name where b.kind <> a.known
+union all select w.file_id, 'retyped', w.name, '' from ren join new w on w.job_id = ren.job_id and w.o = ren.o and w.name = ren.now_ join gone g on g.job_id = ren.job_id and g.o = ren.o and g.name = ren.was where w.kind <> g.known
+"""
+
+
+def _typed(name: str, kind: str, aliases: tuple[str, ...]) -> str:
+    """A column of the consistent table: the first alias with a value, unwrapped and cast."""
+    each = "coalesce(" + ", ".join(f"case when json_type(j, '$.{a}') <> 'NULL' then json_extract(j, '$.{a}') end" for a in aliases) + ", null)"
+    text = f"(select trim({_TEXT}) from (select {each} v))"
+    if kind == "boolean":
+        return f"case when lower({text}) in ('true', 't', 'yes', 'y', '1') then true when lower({text}) in ('false', 'f', 'no', 'n', '0') then false end {name}"
+    if kind == "seconds":
+        return f"case when regexp_full_match({text}, '\\d{{4,}}') then {text}::double / 1000 else try_cast({text} as double) end {name}"
+    return f"try_cast({text} as {kind}) {name}" if kind != "string" else f"{text} {name}"
+
+
+_P4_TABLE = (
+    "with l as (select file_id, job_id, record_key, payload::json j from raw_records where json_valid(payload) and json_type(try_cast(payload as json)) = 'OBJECT')"
+    " select file_id, job_id, record_key, " + ", ".join(_typed(name, kind, aliases) for name, (kind, aliases) in RAW_COLUMNS.items()) + ", 0 n_failed from l"
+)
+
 SQL = {
     "p1_found": _P1,
+    "p4_found": _P4,
+    "p4_table": _P4_TABLE,
     "p2_found": _P2,
     "p6_found": "with z as (select 1)"
     + _P6.format(t="shots", a="clip_start", b="clip_end")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from chalkline.functions import predicates as p
 from chalkline.operators import joins, rules, shots as sh, windows as w
 from chalkline.operators.timeline import KEYS, micro
 from chalkline.plans import base_sql as b
-from chalkline.plans.shot_queries import _CAND, _SHOTS, _SPANS, candidates, clean_shots, clips, in_recordings, us
-from chalkline.plans.timeline_queries import _USABLE, _W, tl
+from chalkline.plans.shot_queries import _CAND, _SHOTS, _SPANS, _spaced, candidates, clean_shots, clips, in_recordings, us
+from chalkline.plans.timeline_queries import _SCORE, _TRANS, _USABLE, _W, _suppress, tl
 
 c = F.col
 
@@ -171,8 +173,33 @@ post as (select q.job_id, q.t, count(*) filter (misses = 0) onset_run, max(raw)
 h as (select u.job_id, u.t, coalesce(quiet, 0) quiet, coalesce(raw_median, 1) raw_median, coalesce(ball_quiet, 0) ball_quiet, coalesce(ball_median, 1) ball_median, coalesce(onset_run, 0) onset_run,
    coalesce(onset_raw, 0) onset_raw, coalesce(onset_speed, 0) onset_speed, coalesce(onset_residual, 0) onset_residual, coalesce(reliable_n, 0) reliable_n, coalesce(reliable_still, 0) reliable_still,
    coalesce(missing, false) missing, coalesce(jumps, false) jumps from u left join pre using (job_id, t) left join post using (job_id, t))"""
+_HIDDEN_ONLY = re.sub(r"\b(pre|q|post)\b", r"h_\1", _HIDDEN.removeprefix(_USABLE + ",\n"))
+_DETECT = f"""{_TRANS}, {_SCORE}, {_HIDDEN_ONLY},
+hc as (select *, quiet >= 0.8 and raw_median <= 0.28 and ball_quiet >= 0.5 and ball_median <= 5 and reliable_n >= 2 and reliable_still >= 0.7 and (missing or jumps) and onset_run >= 2 and onset_raw >= 0.22 and onset_speed >= 1.0 hidden from h),
+sl as (select *, lag(strike_score) over ({_W}) lp, lead(strike_score) over ({_W}) ln from scored),
+sq as (select x.job_id, x.t, coalesce(median(y.motion_raw) <= 0.28, true) calm from scored x left join scored y on x.job_id = y.job_id and x.sitting = y.sitting and y.valid and y.t >= x.t - 0.5 and y.t < x.t - 0.05 group by all),
+kd as (select sl.*, hidden, hc.quiet hq, hc.onset_run, hc.onset_speed, case when by_tracks and confirmed and last_t is not null then 'transition' when by_tracks and hidden and last_t is not null then 'hidden'
+   when not by_tracks and calm and lp is not null and ln is not null and strike_score >= 0.35 and (lp < 0.35 or (strike_score >= lp and strike_score > ln)) then 'score' end kind
+   from sl join hc using (job_id, t) join sq using (job_id, t)),
+fd as (select *, {b.clip("case kind when 'transition' then greatest(strike_score, case when geometry then 0.82 else 0.72 end + 0.10 * stationary_ratio + 0.10 * sustained_ratio + 0.08 * track + 0.06 * contact)"
+   " when 'hidden' then greatest(strike_score, 0.52 + 0.10 * hq + 0.08 * least(1.0, onset_run / 3.0) + 0.08 * least(1.0, onset_speed / 4.0)) else strike_score end")} confidence from kd where kind is not null)"""
 _HF = ("quiet", "raw_median", "ball_quiet", "ball_median", "onset_raw", "onset_speed", "onset_residual", "reliable_still")
+_CLOCK = (
+    "(select case when h > 0 then lpad(h::varchar, 2, '0') || ':' else '' end || lpad((m % 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') || '.' || lpad((ms % 1000)::varchar, 3, '0')"
+    " from (select ms, ms // 1000 s, ms // 60000 m, ms // 3600000 h from (select round_even(greatest({0}, 0) * 1000, 0)::bigint ms)))"
+)
 SQL |= {
+    "strike_detections": _REC + f", {_DETECT}" + _suppress("fd", "strike_score", 1.2)
+    + f" select fd.job_id, {_M('fd.t', 't_us')}, {_M('strike_score', 'strike_score')}, {_M('confidence', 'confidence')}, kind from kept join fd using (job_id, sitting, t)",
+    "audio_seeds": _REC + f", {_PEAKS}, {_CAND}, fr as (select * from a_f f where not exists (select 1 from cand c where c.job_id = f.job_id and c.t between f.t - 1.5 and f.t + 1.5 and abs(c.t - f.t) <= 1.5)), "
+    + _spaced("fr", "t", 1.5, "job_id, sitting") + f" select job_id, {_M('at_', 't_us')} from g_k where kept",
+    "decision_list": f"with {_SHOTS}, o as (select *, sum(clip_end - clip_start) over (partition by job_id order by shot_id rows unbounded preceding) ro from clip where included)"
+    f" select job_id, shot_id, lpad(shot_id::varchar, greatest(3, length(shot_id::varchar))::int, '0') || ' AX V C ' || {_CLOCK.format('clip_start')} || ' ' || {_CLOCK.format('clip_end')} || ' '"
+    f" || {_CLOCK.format('ro - (clip_end - clip_start)')} || ' ' || {_CLOCK.format('ro')} line from o",
+    "scalar_functions": f"""with {_SHOTS}, w as (select *, shot_id * 13 + 640 w, shot_id * 7 + 480 h from clip), z as (select *, least(1.0, 960.0 / w, 540.0 / h) sc from w)
+select job_id, shot_id, {_CLOCK.format('floor(clip_start * 1000) / 1000')} "at", case when shot_id % 3 = 0 then 0.0 else shot_id::double / (shot_id % 3) end rate,
+ greatest(2, (round_even(w * sc / 2, 0) * 2)::int) width, greatest(2, (round_even(h * sc / 2, 0) * 2)::int) height, round_even(clip_start * 25.0, 0)::bigint frame,
+ {_M('greatest(0, least(50.0, clip_start * 50.0 / 100.0))', 'source_us')}, 'Shot_' || shot_id || '__final_' file from z""",
     "audio_peaks": _REC + f", {_PEAKS} select f.job_id, {_M('f.t', 't_us')}, {_M('score', 'score')} from a_f f join a_p p on p.job_id = f.job_id and p.t = f.t",
     "phase_labels": _REC + f", {_PHASES} select job_id, {_M('t', 't_us')}, ['WAITING', 'CUEING', 'STRIKE_CANDIDATE', 'STRIKE_CONFIRMED', 'BALLS_MOVING', 'BALLS_SETTLING', 'ALL_BALLS_STOPPED'][s + 1] state from p_k where i > 0",
     "hidden_onsets": b.TIMELINE + f", {_HIDDEN} select job_id, {_M('t', 't_us')}, " + ", ".join(_M(x, x) for x in _HF)

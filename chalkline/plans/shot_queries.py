@@ -13,7 +13,7 @@ from chalkline.operators.intervals import merge_intervals
 from chalkline.operators.sequence import sittings, to_ms
 from chalkline.operators.timeline import KEYS, finite, micro
 from chalkline.plans import base_sql as b
-from chalkline.plans.timeline_queries import _SCORE, _TRANS, _suppress, detect, tl
+from chalkline.plans.timeline_queries import _TRANS, detect, tl
 from chalkline.sources import sinks
 from chalkline.sources.tables import load
 
@@ -339,11 +339,11 @@ def chapters(spark, folder):
 
 def scalar_functions(spark, folder):
     """The scalar functions, over the clips."""
-    rows = clips(spark, folder)
     c = F.col
+    rows = clips(spark, folder).withColumn("size", scalars.fit_even(c("shot_id") * 13 + 640, c("shot_id") * 7 + 480, 960, 540))
     return rows.select(
         "job_id", "shot_id", scalars.time_text(F.floor(c("clip_start") * 1000) / 1000).alias("at"), scalars.fraction(F.concat(c("shot_id").cast("string"), F.lit("/"), (c("shot_id") % 3).cast("string"))).alias("rate"),
-        scalars.fit_even(c("shot_id") * 13 + 640, c("shot_id") * 7 + 480, 960, 540).alias("size"), scalars.frame_at(c("clip_start"), F.lit(25.0)).alias("frame"),
+        "size.width", "size.height", scalars.frame_at(c("clip_start"), F.lit(25.0)).alias("frame"),
         micro(scalars.to_source(c("clip_start"), F.lit(100.0), F.lit(50.0))).alias("source_us"), scalars.file_name(F.concat(F.lit("Shot "), c("shot_id").cast("string"), F.lit(": final!"))).alias("file"),
     )
 

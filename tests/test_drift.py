@@ -51,10 +51,10 @@ def test_values_that_differ_are_no_rename_and_names_are_used_once(spark):
 
 
 def test_one_table_with_failed_casts(spark):
-    files = [(1, 1, 0, [(1, {"s": 1.25, "ok": "Y"}), (2, {"sec": {"v": "2.5"}, "ok": 0}), (3, {"s": "soon", "ok": "maybe"}), (4, "broken")])]
+    files = [(1, 1, 0, [(1, {"s": 1.25, "ok": "Y"}), (2, {"sec": {"v": "2.5"}, "ok": 0}), (3, {"s": "soon", "ok": "maybe"}), (4, "broken"), (5, {"s": 1743.0, "ok": True}), (6, {"s": 1250, "ok": 1})])]
     columns = {"s": ("seconds", ("s", "sec")), "ok": ("boolean", ("ok",))}
     got = {r.record_key: (r.s, r.ok, r.failed) for r in consistent_table(table(spark, files), columns).collect()}
-    assert got == {1: (1.25, True, {}), 2: (2.5, False, {}), 3: (None, None, {"s": "soon", "ok": "maybe"})}
+    assert got == {1: (1.25, True, {}), 2: (2.5, False, {}), 3: (None, None, {"s": "soon", "ok": "maybe"}), 5: (1743.0, True, {}), 6: (1.25, True, {})}
 
 
 def test_empty(spark):
