@@ -134,10 +134,9 @@ c as (select *, sum(first) over (partition by job_id, layer, field order by "hou
 t as (select *, case when bool_and(pure) over q then sum(n) over q else 0 end total from c window q as (partition by job_id, layer, field, chain)),
 s as (select job_id, layer, "hour", field, run from t where total >= 9 and not (field = 1 and v = 0) and "hour" is not null
    union all select job_id, layer, "hour", field, run from p where not (opens or closes) and pure and n >= 9 and not (field = 1 and v = 0)),
-o as (select row_id, field from x where why <> '' union all
-   select row_id, field from x join s using (job_id, layer, "hour", field, run) where why = '')
-select row_id, ['residual_motion_max', 'max_ball_speed', 'camera_motion_magnitude'][field + 1] field_name from o
-"""
+o as (select row_id, field, why reason, "value" from x where why <> '' union all
+   select row_id, field, 'stuck', "value" from x join s using (job_id, layer, "hour", field, run) where why = '')
+select row_id, ['residual_motion_max', 'max_ball_speed', 'camera_motion_magnitude'][field + 1] field_name"""
 
 _TEXT = """coalesce(case json_type(v) when 'OBJECT' then coalesce(json_extract_string(v, '$.value'), json_extract_string(v, '$.v'), v::varchar)
    when 'NULL' then null else json_extract_string(v, '$') end)"""
@@ -188,7 +187,8 @@ _P4_TABLE = (
 )
 
 SQL = {
-    "p1_found": _P1,
+    "p1_found": _P1 + " from o",
+    "p1_flags": _P1 + ', reason, "value" from o',
     "p4_found": _P4,
     "p4_table": _P4_TABLE,
     "p2_found": _P2,

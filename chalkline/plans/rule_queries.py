@@ -188,7 +188,45 @@ _CLOCK = (
     "(select case when h > 0 then lpad(h::varchar, 2, '0') || ':' else '' end || lpad((m % 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') || '.' || lpad((ms % 1000)::varchar, 3, '0')"
     " from (select ms, ms // 1000 s, ms // 60000 m, ms // 3600000 h from (select round_even(greatest({0}, 0) * 1000, 0)::bigint ms)))"
 )
+_MERGED = """c_n as (select *, row_number() over (partition by job_id order by t, candidate_id) i from cand),
+c_k as (select job_id, i, t kt, confidence ks, 0 step from c_n where i = 1
+  union all select n.job_id, n.i, case when n.t - k.kt >= 1.2 or n.confidence > k.ks then n.t else k.kt end, case when n.t - k.kt >= 1.2 or n.confidence > k.ks then n.confidence else k.ks end,
+    case when n.t - k.kt >= 1.2 then 1 else 0 end from c_k k join c_n n on n.job_id = k.job_id and n.i = k.i + 1),
+c_g as (select *, sum(step) over (partition by job_id order by i) g from c_k), mc as (select job_id, max_by(kt, i) t, max_by(ks, i) confidence from c_g group by job_id, g)"""
+_CALM = f"(motion_raw <= 0.18 and residual_motion_max <= 0.80 and {b.BALL} <= 10)"
+#: Stops of the marks mk(job_id, t), as st(job_id, sitting, t, stop, confirm, confirmed, sure, review, reason): one recursive step a row.
+_STOPS = f"""s_r as (select *, {b.VALID_STOP} ok, {b.TRACKED} trk, occluded_ball_count > 0 and occluded_ball_count <= 2 and moving_ball_count = 0 and {_CALM} calm, {b.STOP_ACTIVITY} act,
+   case when moving_ball_count > 0 then true when {b.TRACKED} then {b.BALL} >= 0.80 or ball_residual_motion >= 0.20 end go,
+   case when {_CALM} and (occluded_ball_count = 0 or occluded_ball_count >= 8) then false when occluded_ball_count > 0 then true when moving_ball_count > 0 then true
+     when {b.TRACKED} then {b.BALL} >= 0.60 or ball_residual_motion >= 0.10 end stay from tl),
+s_m as (select mk.job_id, sitting, t, duration, greatest(0, least(t, duration)) st, least(duration, greatest(0, least(t, duration)) + 10) cap from mk join rec on rec.job_id = mk.job_id and mk.t between first_t and duration),
+s_b as (select m.job_id, m.t, list_sort(list(r.act)) a from s_m m join s_r r on r.job_id = m.job_id and r.sitting = m.sitting and r.ok and r.t >= m.t - 1.2 and r.t < m.t - 0.08 group by all),
+s_l as (select m.*, coalesce(list_aggregate(a[1:(len(a) + 1) // 2], 'median'), 0.05) base from s_m m left join s_b using (job_id, t)),
+s_x as (select m.job_id, m.sitting, m.t mt, m.st, r.t, ok, trk, calm, coalesce(go, act >= greatest(0.18, base * 2.4)) go, coalesce(stay, act >= greatest(0.10, base * 1.65)) stay,
+   row_number() over (partition by m.job_id, m.t order by r.t) k from s_l m join s_r r on r.job_id = m.job_id and r.sitting = m.sitting and r.t >= m.st and r.t <= m.cap + 1e-6),
+s_any as (select m.job_id, m.t, count(*) n from s_l m join s_r r on r.job_id = m.job_id and r.sitting = m.sitting and r.t >= m.st - 0.25 and r.t <= m.cap + 1e-6 group by all),
+s_k as (select job_id, t mt, 0::bigint k, 0 run, false going, null::double last, null::double still, 0 res, null::double unk, 0.0::double unks, null::double timer, false stale, false seen, 0 vr, false done, null::double at_ from s_l
+ union all select y.job_id, y.mt, y.k, case when not ok or going then run when go then run + 1 else 0 end, going or (ok and go and run >= 1),
+   case when not ok then last when not going then case when go and run >= 1 then y.t else last end when mov and (still is null or res >= 1) then y.t else last end,
+   case when not ok then null when not going then still when mov then case when still is not null and res >= 1 then null else still end when y.t < st + 0.45 then still else coalesce(still, case when stale2 then timer2 end, y.t) end,
+   case when not ok then 0 when not going then res when mov then case when still is null then res else res + 1 end else 0 end,
+   case when ok then null else coalesce(unk, y.t) end, case when ok and unk is not null then unks + y.t - unk else unks end, case when ok and going then timer2 else timer end, case when ok and going then stale2 else stale end,
+   seen or (ok and trk), vr + ok::int,
+   coalesce(ok and going and not mov and y.t >= st + 0.45 and y.t - coalesce(still, case when stale2 then timer2 end, y.t) + 1e-9 >= 0.5, false), y.t
+ from (select z.*, stay and not (calm and y_held) mov, case when calm then coalesce(timer, z.t) end timer2, stale or (calm and y_held) stale2
+   from (select s.*, p.run, p.going, p.last, p.still, p.res, p.unk, p.unks, p.timer, p.stale, p.seen, p.vr, s.t - coalesce(p.timer, s.t) + 1e-9 >= 0.5 y_held from s_k p join s_x s on s.job_id = p.job_id and s.mt = p.mt and s.k = p.k + 1 where not p.done) z) y),
+s_e as (select *, row_number() over (partition by job_id, mt order by k desc) n from s_k),
+stp as (select m.job_id, m.sitting, m.t, case when done then still else cap end stop, case when done then at_ else cap end confirm, coalesce(done, false) confirmed, last,
+   case when a.n is null then 0.20 when done then (case when vr < 4 then least(0.55, sure0) else sure0 end) when cap < duration - 1e-6 then 0.20 when last is not null then 0.20 else 0.12 end sure,
+   case when a.n is null then 'no_motion_observations' when done then case when stale then 'confirmed_stale_occlusion_override' when unks > 0 then 'confirmed_after_unknown_gap' else 'confirmed_stationary' end
+     when cap < duration - 1e-6 then 'max_duration_review_cap' when last is not null then 'motion_not_confirmed' else 'no_sustained_ball_motion' end reason, unks
+   from s_l m left join s_any a using (job_id, t)
+   left join (select *, (case when stale then 0.68 when seen then 0.95 else 0.82 end) - (case when unks > 0 then least(0.25, 0.08 * unks) else 0 end) sure0 from s_e where n = 1) e on e.job_id = m.job_id and e.mt = m.t)"""
+_STOP_OUT = f"{_M('stop', 'stop')}, {_M('confirm', 'confirm')}, {_M('sure', 'stop_confidence')}, confirmed, not confirmed or sure < 0.70 or unks >= 0.35 stop_review, reason stop_reason"
 SQL |= {
+    "motion_stops": _REC + f", {_CAND}, {_MERGED}, {_SPANS}, mk as (select * from mc), {_STOPS} select job_id, {_M('t', 't_us')}, {_STOP_OUT} from stp",
+    "detected_stops": _REC + f", {_DETECT}" + _suppress("fd", "strike_score", 1.2) + f", {_SPANS}, mk as (select job_id, t from kept), {_STOPS}"
+    f" select job_id, {_M('t', 't_us')}, {_M('stop', 'stop')}, confirmed, reason stop_reason from stp",
     "strike_detections": _REC + f", {_DETECT}" + _suppress("fd", "strike_score", 1.2)
     + f" select fd.job_id, {_M('fd.t', 't_us')}, {_M('strike_score', 'strike_score')}, {_M('confidence', 'confidence')}, kind from kept join fd using (job_id, sitting, t)",
     "audio_seeds": _REC + f", {_PEAKS}, {_CAND}, fr as (select * from a_f f where not exists (select 1 from cand c where c.job_id = f.job_id and c.t between f.t - 1.5 and f.t + 1.5 and abs(c.t - f.t) <= 1.5)), "
@@ -206,3 +244,35 @@ select job_id, shot_id, {_CLOCK.format('floor(clip_start * 1000) / 1000')} "at",
     + """, onset_run, reliable_n, missing, jumps, quiet >= 0.8 and raw_median <= 0.28 and ball_quiet >= 0.5 and ball_median <= 5 and reliable_n >= 2 and reliable_still >= 0.7 and (missing or jumps)
    and onset_run >= 2 and onset_raw >= 0.22 and onset_speed >= 1.0 confirmed from h""",
 }
+
+_CLIP_ROWS = f", {_CAND}, {_MERGED}, {_SPANS}, mk as (select job_id, t from mc), {_STOPS}, cb as (select stp.*, mc.confidence, duration from stp join mc using (job_id, t) join rec using (job_id, sitting) where reason <> 'no_sustained_ball_motion'"
+_CLIP_ROWS += "), cr as (select *, confidence < 0.7 or not confirmed or sure < 0.70 or unks >= 0.35 review0 from cb)"
+
+
+def _clip_sql(start: str, after: float, prep: float = 0.0) -> str:
+    """Clips of a mode that is not strict."""
+    wide = "case when confidence < 0.5 then 1.0 else 0.0 end"
+    rows = "cr"
+    if prep:
+        rows = f"(select cr.*, coalesce((select max(x.t) from tl x where x.job_id = cr.job_id and x.sitting = cr.sitting and x.motion_score > 0.4 and x.t >= greatest(0, cr.t - {prep}) and x.t < cr.t), greatest(0, cr.t - {prep})) prep from cr)"
+    return (
+        _REC + _CLIP_ROWS + f" select job_id, {_M('t', 'strike')}, {_M(f'greatest(0, {start} - {wide})', 'start')}, {_M(f'least(duration, stop + {after} + {wide})', chr(34) + 'end' + chr(34))},"
+        f" {_M('stop', 'stop')}, confirmed, review0 review from {rows}"
+    )
+
+
+SQL |= {
+    "clips_strict": _REC + _CLIP_ROWS + """, s1 as (select *, greatest(0, t - 2.0) st from cr), s2 as (select *, least(least(stop, t + 4.0), st + 12.0) sp from s1),
+s3 as (select *, greatest(st, least(duration, greatest(sp, t + 4.0), st + 12.0)) en, confirmed and sp >= stop ok from s2) select job_id, """
+    + f"{_M('t', 'strike')}, {_M('st', 'start')}, {_M('en', chr(34) + 'end' + chr(34))}, {_M('sp', 'stop')}, ok confirmed, review0 or not ok review from s3",
+    "clips_action_only": _clip_sql("greatest(0, t - 1.5)", 1.0),
+    "clips_natural": _clip_sql("prep", 4.0, 6.0),
+    "clips_full_sequence": _clip_sql("prep", 5.0, 15.0),
+    "refine_windows": _REC + f""", {_CAND}, {_MERGED}, {_SPANS}, mk as (select job_id, t from mc), {_STOPS},
+w1 as (select stp.*, duration, least(duration, t + 10.0 + 0.8) hard, greatest(0, t - 2.0) begin_, lead(t) over (partition by stp.job_id, sitting order by t) after_ from stp join rec using (job_id, sitting)),
+w2 as (select job_id, sitting, round(begin_ * 1000)::bigint lo, round(case when confirmed then least(hard, greatest(begin_ + 1.0, stop + 0.8 + 2.0)) when reason = 'max_duration_review_cap' then hard
+   when after_ < hard then least(hard, after_ + 1.0) else hard end * 1000)::bigint hi from w1),
+w3 as (select *, case when lo > max(hi) over w + 250 or max(hi) over w is null then 1 else 0 end h from w2 where hi > lo window w as (partition by job_id, sitting order by lo, hi rows between unbounded preceding and 1 preceding)),
+w4 as (select *, sum(h) over (partition by job_id, sitting order by lo, hi rows unbounded preceding) i from w3)
+select job_id, min(lo) start_ms, max(hi) end_ms from w4 group by job_id, sitting, i""",
+}

@@ -158,6 +158,17 @@ def motion_stops(spark, folder):
     return found.select("job_id", micro("t").alias("t_us"), *us("stop", "confirm", "stop_confidence"), "confirmed", "stop_review", "stop_reason")
 
 
+def clips_of(mode: str):
+    def query(spark, folder):
+        rows, marks, found = stops(spark, folder)
+        cut = sh.clip_bounds(found.join(marks.select(*KEYS, "t", "confidence"), [*KEYS, "t"]), rows, recordings(rows), mode)
+        return cut.select("job_id", *us("strike", "start", "end", "stop"), "confirmed", "review")
+
+    query.__name__ = f"clips_{mode}"
+    query.__doc__ = f"Clips around the candidates in the mode {mode}, before overlaps are resolved."
+    return query
+
+
 def shots_of(mode: str):
     def query(spark, folder):
         rows, marks, found = stops(spark, folder)
@@ -352,7 +363,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         frame_scenes, near_cuts, audio_near, audio_seeds, scene_starts, scene_middles, merged_candidates, next_candidates, phase_labels, smoothed_motion, motion_stops,
-        *[shots_of(m) for m in DEFAULT.modes], detected_stops, refine_windows, refined_candidates, replay_links, label_similarity, shot_views, shot_preparations, shot_importance,
+        *[clips_of(m) for m in DEFAULT.modes], *[shots_of(m) for m in DEFAULT.modes], detected_stops, refine_windows, refined_candidates, replay_links, label_similarity, shot_views, shot_preparations, shot_importance,
         shot_offsets, shot_events, job_durations, matched_events, event_metrics, event_report, keep_ranges, range_violations, split_shots, merged_shots, deleted_shots,
         shot_rows, decision_list, chapters, scalar_functions,
     )
