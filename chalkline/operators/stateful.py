@@ -312,12 +312,13 @@ def find_stops(tl: DataFrame, onsets: DataFrame, s: Stop = DEFAULT.stop) -> Data
 
 @dataclass
 class Clip:
-    """A shot while overlaps are resolved."""
+    """A shot while overlaps are resolved. `stop` may be capped by the mode; `uncapped` is where motion was seen to end."""
 
     strike: float
     start: float
     end: float
     stop: float
+    uncapped: float
     confirmed: bool
     confidence: float
     audio: float
@@ -338,7 +339,7 @@ def resolve_overlaps(clips: list[Clip], strict: bool, c: Config = DEFAULT) -> li
         drop = False
         while kept and not drop:
             last = kept[-1]
-            in_motion = last.confirmed and clip.strike <= last.stop + 1e-6
+            in_motion = last.confirmed and clip.strike <= last.uncapped + 1e-6
             overlap = strict and clip.start < last.end - 1e-6
             if not (clip.strike - last.strike < c.near_duplicate_s or in_motion or overlap):
                 break
@@ -377,7 +378,7 @@ def resolve_shots(clips: DataFrame, strict: bool) -> DataFrame:
 
     def resolve(part: pd.DataFrame) -> pd.DataFrame:
         key = part[KEYS].iloc[0].tolist()
-        names = ("strike", "start", "end", "stop", "confirmed", "confidence", "audio", "quiet", "review", "minimum")
+        names = ("strike", "start", "end", "stop", "uncapped", "confirmed", "confidence", "audio", "quiet", "review", "minimum")
         kept = resolve_overlaps([Clip(*row) for row in zip(*[part[n].tolist() for n in names])], strict)
         rows = [(*key, i, x.strike, x.start, x.end, x.stop, x.confidence, x.review, x.notes.get("replaced"), x.notes.get("rejected")) for i, x in enumerate(kept, 1)]
         return pd.DataFrame(rows, columns=[*KEYS, *[n.split()[0] for n in SHOT_SCHEMA]])

@@ -276,3 +276,41 @@ w3 as (select *, case when lo > max(hi) over w + 250 or max(hi) over w is null t
 w4 as (select *, sum(h) over (partition by job_id, sitting order by lo, hi rows unbounded preceding) i from w3)
 select job_id, min(lo) start_ms, max(hi) end_ms from w4 group by job_id, sitting, i""",
 }
+
+
+def _shots_sql(mode: str) -> str:
+    """Overlaps resolved with a stack: a recursive step pushes, pops or drops one shot."""
+    strict = mode == "strict"
+    if strict:
+        bounds = """, s1 as (select *, greatest(0, t - 2.0) st from cr), s2 as (select *, least(least(stop, t + 4.0), st + 12.0) sp from s1), s3 as (select *, greatest(st, least(duration, greatest(sp, t + 4.0), st + 12.0)) en,
+ confirmed and sp >= stop ok from s2), bd as (select job_id, sitting, t, st a, en e, sp, stop un, ok, confidence, review0 or not ok rv, en mi from s3)"""
+    else:
+        start, after, prep = {"action_only": ("greatest(0, t - 1.5)", 1.0, 0), "natural": ("prep", 4.0, 6.0), "full_sequence": ("prep", 5.0, 15.0)}[mode]
+        look = f"(select max(x.t) from tl x where x.job_id = cr.job_id and x.sitting = cr.sitting and x.motion_score > 0.4 and x.t >= greatest(0, cr.t - {prep}) and x.t < cr.t)"
+        rows = f"(select cr.*, coalesce({look}, greatest(0, cr.t - {prep})) prep from cr)" if prep else "cr"
+        wide = "case when confidence < 0.5 then 1.0 else 0.0 end"
+        bounds = f", bd as (select job_id, sitting, t, greatest(0, {start} - {wide}) a, least(duration, stop + {after} + {wide}) e, stop sp, stop un, confirmed ok, confidence, review0 rv, stop mi from {rows})"
+    overlap = "c.a < p.e - 1e-6" if strict else "false"
+    return (
+        _REC.replace("with recursive ", "with recursive ", 1) + _CLIP_ROWS + bounds
+        + f""", ev as (select job_id, t, coalesce(arg_max(evidence['audio_onset'], confidence), 0) au, coalesce(arg_max(evidence['pre_ball_quiet_ratio'], confidence), 0) qu from
+   (select m.job_id, m.t, m.confidence, s.evidence from mc m join strike_candidates s on s.job_id = m.job_id and s."timestamp" = m.t) group by all),
+sq as (select bd.*, coalesce(au, 0) au, coalesce(qu, 0) qu, row_number() over (partition by bd.job_id, sitting order by bd.t) i from bd left join ev on ev.job_id = bd.job_id and ev.t = bd.t),
+sk as (select job_id, sitting, 0::bigint i, 0::bigint n, []::struct(t double, a double, e double, sp double, un double, ok boolean, cf double, au double, qu double, rv boolean, mi double, rp double, rj double)[] s, null::double rp
+   from (select distinct job_id, sitting from sq)
+ union all select job_id, sitting, case act when 'pop' then i else i + 1 end, n + 1,
+   case act when 'push' then list_append(s, {{'t': c.t, 'a': c.a, 'e': c.e, 'sp': c.sp, 'un': c.un, 'ok': c.ok, 'cf': c.confidence, 'au': c.au, 'qu': c.qu, 'rv': c.rv, 'mi': c.mi, 'rp': rp, 'rj': null}})
+     when 'pop' then s[:-2] else list_append(s[:-2], {{'t': p.t, 'a': p.a, 'e': p.e, 'sp': p.sp, 'un': p.un, 'ok': p.ok, 'cf': p.cf, 'au': p.au, 'qu': p.qu, 'rv': p.rv or c.confidence >= 0.7, 'mi': p.mi, 'rp': p.rp, 'rj': c.t}}) end,
+   case act when 'pop' then p.t end
+ from (select k.job_id, k.sitting, k.i, k.n, k.s, k.rp, c, s[-1] p, case when len(s) = 0 then 'push'
+     when not (c.t - s[-1].t < 0.6 or (s[-1].ok and c.t <= s[-1].un + 1e-6) or {overlap.replace('p.e', 's[-1].e')}) then 'push'
+     when case when abs(c.confidence - s[-1].cf) > 0.05 then c.confidence > s[-1].cf when (s[-1].au >= 0.15) <> (c.au >= 0.15) then c.au >= 0.15 else c.qu - s[-1].qu > 1e-6 end then 'pop' else 'drop' end act
+   from sk k join sq c on c.job_id = k.job_id and c.sitting = k.sitting and c.i = k.i + 1)),
+fs as (select job_id, sitting, arg_max(s, n) s from sk group by all), fu as (select job_id, generate_subscripts(s, 1)::int shot_id, unnest(s) x from fs)
+select job_id, shot_id, {_M('x.t', 'strike')}, """
+        + (f"{_M('greatest(0, x.t - 2.0)', 'clip_start')}, {_M('greatest(x.sp, x.mi)', 'clip_end')}" if strict else f"{_M('x.a', 'clip_start')}, {_M('x.e', 'clip_end')}")
+        + f", {_M('x.sp', 'stop')}, x.rv review, {_M('x.rp', 'replaced')}, {_M('x.rj', 'rejected')} from fu"
+    )
+
+
+SQL |= {f"shots_{mode}": _shots_sql(mode) for mode in ("strict", "action_only", "natural", "full_sequence")}

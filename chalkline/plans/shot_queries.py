@@ -174,7 +174,7 @@ def shots_of(mode: str):
         rows, marks, found = stops(spark, folder)
         facts = marks.select(*KEYS, "t", "confidence", F.coalesce(F.col("evidence")["audio_onset"], F.lit(0.0)).alias("audio"), F.coalesce(F.col("evidence")["pre_ball_quiet_ratio"], F.lit(0.0)).alias("quiet"))
         cut = sh.clip_bounds(found.join(facts, [*KEYS, "t"]), rows, recordings(rows), mode)
-        clip = cut.select(*KEYS, "strike", "start", "end", F.col("uncapped").alias("stop"), "confirmed", "confidence", "audio", "quiet", "review", "minimum")
+        clip = cut.select(*KEYS, "strike", "start", "end", "stop", "uncapped", "confirmed", "confidence", "audio", "quiet", "review", "minimum")
         done = stateful.resolve_shots(clip, mode == "strict")
         return done.select("job_id", "shot_id", *us("strike", "clip_start", "clip_end", "stop"), "review", *us("replaced", "rejected"))
 

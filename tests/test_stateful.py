@@ -97,7 +97,7 @@ def test_smoothing_starts_over_at_cuts(spark):
 
 
 def clip(strike, confidence=0.9, audio=0.0, stop=None, confirmed=False, quiet=1.0):
-    return Clip(strike, max(0, strike - 2), strike + 4, stop or strike + 1, confirmed, confidence, audio, quiet, False, strike + 4)
+    return Clip(strike, max(0, strike - 2), strike + 4, min(stop or strike + 1, strike + 4), stop or strike + 1, confirmed, confidence, audio, quiet, False, strike + 4)
 
 
 def test_overlaps_keep_the_better_supported():
@@ -111,6 +111,27 @@ def test_overlaps_keep_the_better_supported():
     assert [c.strike for c in kept] == [1.0] and kept[0].notes == {"rejected": 5.0} and kept[0].review
 
 
+def test_strict_clips_are_capped(spark):
+    from pyspark.sql import functions as F
+
+    from chalkline.operators.shots import clip_bounds
+
+    def cut(end, moving, mode="strict"):
+        rows = tl(spark, [tracked(t, moving[0] <= t <= moving[1]) for t in grid(int(end * 10) + 1)])
+        marks = spark.createDataFrame([(1, 0, 1.0, 0.9)], "job_id bigint, sitting bigint, t double, confidence double")
+        ends = rows.groupBy("job_id", "sitting").agg(F.max("t").alias("duration"))
+        clips = clip_bounds(find_stops(rows, marks).join(marks, ["job_id", "sitting", "t"]), rows, ends, mode)
+        clips = clips.select("job_id", "sitting", "strike", "start", "end", "stop", "uncapped", "confirmed", "confidence", F.lit(0.0).alias("audio"), F.lit(0.0).alias("quiet"), "review", "minimum")
+        return stateful.resolve_shots(clips, mode == "strict").first()
+
+    r = cut(20.0, (1.0, 99.0))
+    assert (r.clip_start, r.clip_end, r.review) == (0.0, 5.0, True)
+    r = cut(3.0, (1.0, 1.4))
+    assert (r.clip_start, r.clip_end) == (0.0, 3.0)
+    r = cut(20.0, (1.0, 1.4), "action_only")
+    assert (r.clip_start, r.clip_end) == (0.0, 2.5)
+
+
 def test_replays_follow_live_ones(spark):
     up, down = [float(i) for i in range(16)], [float(16 - i) for i in range(16)]
     rows = [(1, 0, 10.0, 0.9, up, False, False), (1, 0, 20.0, 0.9, up, False, True), (1, 0, 30.0, 0.9, up, False, False), (1, 0, 31.0, 0.9, down, False, True), (1, 0, 150.0, 0.9, up, False, True), (1, 0, 40.0, 0.2, [0.0] * 16, True, False)]
