@@ -314,3 +314,17 @@ select job_id, shot_id, {_M('x.t', 'strike')}, """
 
 
 SQL |= {f"shots_{mode}": _shots_sql(mode) for mode in ("strict", "action_only", "natural", "full_sequence")}
+
+SQL["replay_links"] = _REC + f""", {_CAND}, {_SPANS}, rm as (select cand.job_id, sitting, t, max(confidence) confidence from cand join rec on rec.job_id = cand.job_id and t between first_t and duration group by all),
+rv as (select m.job_id, m.sitting, m.t, coalesce(bool_or({b.REPLAY.replace('view_type', 'x.view_type')}), false) explicit, coalesce(bool_or(x.scene_cut_score >= 0.5 and x.t between m.t - 0.8 and m.t + 0.8), false) transition
+   from rm m left join tl x on x.job_id = m.job_id and x.sitting = m.sitting and x.t >= m.t - 1.0 and x.t <= m.t + 1.0 group by all),
+rs as (select m.job_id, m.t, coalesce(list(x.motion_score order by x.t) filter (x.t is not null), [0.0]) s from rm m left join tl x on x.job_id = m.job_id and x.sitting = m.sitting and x.t >= m.t and x.t <= m.t + 3.0 group by all),
+rg as (select job_id, t, list_transform(range(16), lambda k: s[floor(k * (len(s) - 1) / 15.0)::int + 1] + (s[least(floor(k * (len(s) - 1) / 15.0)::int + 1, len(s) - 1) + 1] - s[floor(k * (len(s) - 1) / 15.0)::int + 1])
+   * (k * (len(s) - 1) / 15.0 - floor(k * (len(s) - 1) / 15.0))) sig from rs),
+rq as (select rm.*, explicit, transition, sig, row_number() over (partition by rm.job_id, rm.sitting order by rm.t) i from rm join rv using (job_id, sitting, t) join rg using (job_id, t)),
+rk as (select job_id, sitting, 0::bigint i, []::struct(t double, sig double[])[] live, null::double t, false replay, null::double replay_of from (select distinct job_id, sitting from rq)
+ union all select job_id, sitting, i + 1, case when not hit and confidence >= 0.40 then list_append(live, {{'t': ct, 'sig': sig}}) else live end, ct, hit, f
+ from (select k.job_id, k.sitting, k.i, k.live, c.t ct, c.sig, c.confidence, c.explicit or len(m) > 0 hit, m[-1].t f
+   from (select k.*, c, list_filter(k.live, lambda y: (c.explicit or c.transition) and c.t - y.t between 2.0 and 90.0 and sqrt(list_dot_product(y.sig, y.sig)) > 1e-6 and sqrt(list_dot_product(c.sig, c.sig)) > 1e-6
+     and list_cosine_similarity(y.sig, c.sig) >= 0.92) m from rk k join rq c on c.job_id = k.job_id and c.sitting = k.sitting and c.i = k.i + 1) k))
+select job_id, {_M('t', 't_us')}, replay, {_M('replay_of', 'replay_of')} from rk where i > 0"""
