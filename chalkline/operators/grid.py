@@ -123,7 +123,7 @@ def _loadings(wide: DataFrame, ys: Sequence[str], iterations: int, ridge: float)
 
 
 def complete_grid(
-    df: DataFrame, entity: Sequence[str], t: str, fields: Sequence[str], pause_s: int = 3600, iterations: int = 3, ridge: float = 0.05
+    df: DataFrame, entity: Sequence[str], t: str, fields: Sequence[str], pause_s: int = 3600, iterations: int = 3, ridge: float = 1.0
 ) -> DataFrame:
     """One value per entity, field and second of a sitting: entity, `field_name`, `slot`, `value`, `status`.
 
@@ -141,13 +141,17 @@ def complete_grid(
     n = len(fields)
     cells, times = _cells(df, entity, t, fields)
     grid = _grid(cells, times, keys, n, pause_s * 1000)
-    means = cells.groupBy(*keys).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(n)])
-    scaled = join_by(grid, means, keys).withColumns(
+    scales = cells.groupBy(*keys).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(n)])
+    scaled = join_by(grid, scales, keys).withColumns(
         {f"z{i}": F.when(F.col(f"m{i}") > 0, F.log1p(F.col(f"x{i}") / F.col(f"m{i}"))).otherwise(F.col(f"x{i}") * 0) for i in range(n)}
     )
     wide = cut(_neighbours(scaled, keys, n), "grid")
     per = 2 * REACH + 1
     ys = [f"y{i}" for i in range(n * per)]
+    # Around each field's mean, so that what little is known of a second pulls towards the mean, not to zero.
+    means = wide.agg(*[F.avg(f"y{i * per + REACH}").alias(f"c{i}") for i in range(n)]).first()
+    centre = [float(means[f"c{i}"] or 0.0) for i in range(n)]
+    wide = wide.withColumns({y: F.col(y) - centre[k // per] for k, y in enumerate(ys)})
     loadings = _loadings(wide, ys, iterations, ridge)
     u, v = _factor(ys, loadings, ridge)
     support = F.lit(0)
@@ -156,7 +160,8 @@ def complete_grid(
     rows = []
     for i, field in enumerate(fields):
         here = i * per + REACH
-        guess = F.expm1(F.greatest(F.col("u") * float(loadings[here, 0]) + F.col("v") * float(loadings[here, 1]), F.lit(0.0)))
+        fit = F.col("u") * float(loadings[here, 0]) + F.col("v") * float(loadings[here, 1]) + centre[i]
+        guess = F.expm1(F.greatest(fit, F.lit(0.0)))
         seen, backed = F.col(f"x{i}").isNotNull(), F.col("support") >= RANK
         rows.append(
             F.struct(
