@@ -23,47 +23,44 @@ class FileColumns:
     payload: str = "payload"
 
 
-def parse_lines(payload: Column) -> Column:
-    """A line as a variant object; null where the line is not one complete JSON object.
+def parse_lines(lines: DataFrame, payload: str, *keep: Column) -> DataFrame:
+    """`keep` and `doc`: the line as a variant object, null where it is not one complete JSON object.
 
     The parser stops after the first value, so the line is parsed as the only element of a list: text after the object
-    then is an error. A line with the same key twice counts as malformed.
+    then is an error. A line with the same key twice counts as malformed. Each line is parsed once: the parsed value is
+    a column of its own, since an expression used several times would be computed as often.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
-    text = F.trim(F.regexp_replace(payload, r"^\s+|\s+$", ""))
-    one = text.startswith("{") & text.endswith("}") & F.isnull(F.try_variant_get(listed, "$[1]", "variant"))
-    return F.when(one & F.schema_of_variant(listed).startswith("ARRAY<OBJECT"), F.try_variant_get(listed, "$[0]", "variant"))
+    text = F.col(f"`{payload}`").cast("string")
+    listed = lines.select(*keep, F.regexp_replace(text, r"^\s+|\s+$", "").alias("_text"), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).alias("_list"))
+    one = F.col("_text").startswith("{") & F.col("_text").endswith("}") & F.isnull(F.try_variant_get("_list", "$[1]", "variant"))
+    first = F.try_variant_get("_list", "$[0]", "variant")
+    return listed.withColumn("doc", F.when(one, first)).drop("_text", "_list")
 
 
-def raw_type(value: Column) -> Column:
-    """JSON type of a variant: integer, decimal, string, boolean, array, object; null for a JSON null.
+def raw_type(schema: Column) -> Column:
+    """JSON type of a variant from its schema: integer, decimal, string, boolean, array, object; null for a JSON null.
 
-    1.0 is a decimal: the parser keeps it as a decimal number where 1 is a whole one.
+    1.0 is a decimal: the parser keeps it as a decimal number where 1 is a whole one, unless that has over 18 digits.
     """
-    s = F.schema_of_variant(value)
-    digits = F.regexp_extract(s, r"^DECIMAL\((\d+),0\)$", 1)
+    long = schema.rlike(r"^DECIMAL\((19|[23]\d),0\)$")
     return (
-        F.when(s == "BIGINT", "integer")
-        .when(F.coalesce(digits.try_cast("int"), F.lit(0)) > 18, "integer")
-        .when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "decimal")
-        .when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s.startswith("OBJECT"), "object")
+        F.when(schema == "BIGINT", "integer")
+        .when(schema == "STRING", "string")
+        .when(schema.startswith("DECIMAL"), F.when(long, "integer").otherwise("decimal"))
+        .when(schema == "BOOLEAN", "boolean")
+        .when(schema.isin("DOUBLE", "FLOAT"), "decimal")
+        .when(schema.startswith("ARRAY"), "array")
+        .when(schema.startswith("OBJECT"), "object")
     )
 
 
 def path_values(lines: DataFrame, c: FileColumns = FileColumns()) -> DataFrame:
     """A row for each top-level field of each good line: file, group, time, record, `path`, `value` (variant), `type`."""
-    placed = lines.select(
-        F.col(f"`{c.file}`").alias("file"),
-        F.col(f"`{c.group}`").alias("grp"),
-        F.col(f"`{c.time}`").alias("time"),
-        F.col(f"`{c.record}`").alias("record"),
-        parse_lines(F.col(f"`{c.payload}`").cast("string")).alias("doc"),
-    ).where("doc is not null")
+    keep = [F.col(f"`{name}`").alias(alias) for name, alias in ((c.file, "file"), (c.group, "grp"), (c.time, "time"), (c.record, "record"))]
+    placed = parse_lines(lines, c.payload, *keep)
     exploded = placed.lateralJoin(placed.sparkSession.tvf.variant_explode(F.col("doc").outer()))
-    return exploded.select("file", "grp", "time", "record", F.col("key").alias("path"), "value").withColumn("type", raw_type(F.col("value")))
+    fields = exploded.select("file", "grp", "time", "record", F.col("key").alias("path"), "value", F.schema_of_variant("value").alias("_schema"))
+    return fields.where("path is not null").withColumn("type", raw_type(F.col("_schema"))).drop("_schema")
 
 
 def plain_value(value: Column) -> Column:
@@ -208,10 +205,8 @@ def consistent_table(lines: DataFrame, columns: dict[str, tuple[str, Sequence[st
     column to the text that could not be cast (the column then is null). Types are Spark's, or seconds: times that are
     written as decimals in seconds and as whole numbers in milliseconds. Wrapped and quoted values are unwrapped first.
     """
-    placed = lines.select(
-        F.col(f"`{c.file}`").alias("file_id"), F.col(f"`{c.group}`").alias("job_id"), F.col(f"`{c.record}`").alias("record_key"),
-        parse_lines(F.col(f"`{c.payload}`").cast("string")).alias("doc"),
-    ).where("doc is not null")
+    keep = [F.col(f"`{name}`").alias(alias) for name, alias in ((c.file, "file_id"), (c.group, "job_id"), (c.record, "record_key"))]
+    placed = parse_lines(lines, c.payload, *keep).where(F.schema_of_variant("doc").startswith("OBJECT"))
     out, failed = {}, []
     for name, (kind, aliases) in columns.items():
         raw = F.coalesce(*[F.try_variant_get("doc", f"$['{a}']", "variant") for a in aliases])
@@ -222,7 +217,7 @@ def consistent_table(lines: DataFrame, columns: dict[str, tuple[str, Sequence[st
             value = F.when(low.isin("true", "t", "yes", "y", "1"), True).when(low.isin("false", "f", "no", "n", "0"), False)
         elif kind == "seconds":
             number = text.try_cast("double")
-            whole = (raw_type(inner) == "integer") | ((raw_type(inner) == "string") & text.rlike(r"^\s*\d{4,}\s*$"))
+            whole = (raw_type(F.schema_of_variant(inner)) == "integer") | ((raw_type(F.schema_of_variant(inner)) == "string") & text.rlike(r"^\s*\d{4,}\s*$"))
             value = F.when(whole, number / 1000).otherwise(number)
         else:
             value = text.try_cast(kind)
