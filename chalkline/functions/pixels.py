@@ -113,3 +113,41 @@ def sound_features(files: DataFrame) -> DataFrame:
                     yield sound_series(data, w.getframerate()).assign(job_id=row.job_id)[["job_id", "t", "onset", "rms", "highband", "midband"]]
 
     return files.select("job_id", "content").mapInPandas(describe, "job_id bigint, t double, onset double, rms double, highband double, midband double")
+
+
+def components(mask: np.ndarray) -> np.ndarray:
+    """Numbers of the 4-connected areas of a mask, 0 outside: the smallest label spreads until nothing changes."""
+    labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    while True:
+        padded = np.pad(labels, 1)
+        around = np.stack([padded[1:-1, 1:-1], padded[:-2, 1:-1], padded[2:, 1:-1], padded[1:-1, :-2], padded[1:-1, 2:]])
+        least = np.where(mask, np.where(around > 0, around, mask.size + 1).min(0), 0)
+        if (least == labels).all():
+            return np.unique(labels, return_inverse=True)[1].reshape(mask.shape)
+        labels = least
+
+
+def round_objects(rgb: np.ndarray, least_px: int = 12, roundness: float = 0.55) -> list[dict[str, float]]:
+    """Bright neutral round areas surrounded by cloth: place, diameter and scores, the best white one first."""
+    h = hsv(rgb)
+    white = (h[..., 2] >= 180) & (h[..., 1] <= 70)
+    labels = components(white)
+    low, high = (np.array(v) for v in CLOTH)
+    cloth = ((h >= low) & (h <= high)).all(-1)
+    out = []
+    for k in range(1, labels.max() + 1):
+        ys, xs = np.nonzero(labels == k)
+        if len(ys) < least_px:
+            continue
+        tall, wide = np.ptp(ys) + 1, np.ptp(xs) + 1
+        shape = len(ys) / (np.pi / 4 * tall * wide) * min(tall, wide) / max(tall, wide)
+        top, left = max(ys.min() - 2, 0), max(xs.min() - 2, 0)
+        ring = np.zeros_like(white)
+        ring[top : ys.max() + 3, left : xs.max() + 3] = True
+        ring &= labels != k
+        surround = float(cloth[ring].mean()) if ring.any() else 0.0
+        neutral = 1 - h[ys, xs, 1].mean() / 255
+        colour = float(np.sqrt(h[ys, xs, 2].mean() / 255 * neutral))
+        if min(shape, 1.0) >= roundness:
+            out.append({"x": float(xs.mean()), "y": float(ys.mean()), "diameter": float((tall + wide) / 2), "shape": float(min(shape, 1.0)), "surround": surround, "colour": colour})
+    return sorted(out, key=lambda o: -o["colour"] * o["surround"])

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from chalkline.functions import predicates as p
-from chalkline.operators import joins, rules, shots as sh, windows as w
+from chalkline.operators import joins, rules, scenes, shots as sh, windows as w
 from chalkline.operators.timeline import KEYS, micro
 from chalkline.plans import base_sql as b
 from chalkline.plans.shot_queries import _CAND, _SHOTS, _SPANS, _spaced, candidates, clean_shots, clips, in_recordings, us
@@ -42,6 +42,12 @@ def confirmed_cuts(spark, folder):
     return rules.confirmed_cuts(rows, "scene_cut_score", "two").where("cut").select("job_id", micro("t").alias("t_us"))
 
 
+def scene_segments(spark, folder):
+    """Scenes between the cuts of the timeline, with the view in their middle."""
+    rows = tl(spark, folder).withColumn("cut", c("scene_cut_score") >= 0.42)
+    return scenes.segment(rows, "cut").select("job_id", *us("start", "end"), "view_type", "n")
+
+
 def stable_speeds(spark, folder):
     """Speed of the cue ball from its place over the last 0.24 s."""
     return rules.stable_speed(tl(spark, folder)).select("job_id", micro("t").alias("t_us"), F.rint(c("stable_speed") * 1000).cast("bigint").alias("stable_speed_e3"))
@@ -86,7 +92,7 @@ def rows_per_view(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        exported_shots, exported_with_replays, boundary_violations, repaired_views, confirmed_cuts, stable_speeds, sampled_rows, joined_seek, audio_support, shot_lengths,
+        exported_shots, exported_with_replays, boundary_violations, repaired_views, confirmed_cuts, scene_segments, stable_speeds, sampled_rows, joined_seek, audio_support, shot_lengths,
         rows_per_view,
     )
 }
@@ -328,3 +334,11 @@ rk as (select job_id, sitting, 0::bigint i, []::struct(t double, sig double[])[]
    from (select k.*, c, list_filter(k.live, lambda y: (c.explicit or c.transition) and c.t - y.t between 2.0 and 90.0 and sqrt(list_dot_product(y.sig, y.sig)) > 1e-6 and sqrt(list_dot_product(c.sig, c.sig)) > 1e-6
      and list_cosine_similarity(y.sig, c.sig) >= 0.92) m from rk k join rq c on c.job_id = k.job_id and c.sitting = k.sitting and c.i = k.i + 1) k))
 select job_id, {_M('t', 't_us')}, replay, {_M('replay_of', 'replay_of')} from rk where i > 0"""
+
+SQL["scene_segments"] = _REC + ", ct as (select job_id, sitting, t from tl where scene_cut_score >= 0.42), " + _spaced("ct", "t", 0.2, "job_id, sitting") + f""", st as (select job_id, sitting, at_ t from g_k where kept union select job_id, sitting, min(t) from tl group by all),
+en as (select job_id, sitting, min(t) first_, max(t) last_ from tl group by all),
+nx as (select st.*, first_, last_, coalesce(lead(t) over (partition by st.job_id, st.sitting order by t), last_) n_ from st join en using (job_id, sitting)),
+lo as (select * from nx where n_ - t >= 0.4 or t = first_),
+sp as (select job_id, sitting, t a, coalesce(lead(t) over (partition by job_id, sitting order by t), last_) e, last_ from lo)
+select sp.job_id, {_M('a', 'start')}, {_M('e', chr(34) + 'end' + chr(34))}, arg_min(view_type, (abs(t - (a + e) / 2), t)) view_type, count(*) n from sp
+join tl on tl.job_id = sp.job_id and tl.sitting = sp.sitting and t >= a and (t < e or (e = last_ and t = e)) group by sp.job_id, sp.sitting, a, e"""

@@ -114,3 +114,31 @@ def test_pictures_and_sound(spark):
     loudest = max(sound, key=lambda r: r.onset)
     assert abs(loudest.t - 0.5) < 0.15 and max(r.highband for r in sound) > 0.99
     random.seed(0)
+
+
+def test_round_objects_on_cloth():
+    picture = np.zeros((60, 80, 3), np.uint8)
+    picture[:] = (20, 160, 60)
+    yy, xx = np.mgrid[:60, :80]
+    for cx, cy in ((20, 30), (60, 20)):
+        picture[(xx - cx) ** 2 + (yy - cy) ** 2 <= 25] = (240, 240, 235)
+    picture[50:52, 5:70] = (240, 240, 240)
+    found = pixels.round_objects(picture)
+    assert sorted((round(o["x"]), round(o["y"])) for o in found) == [(20, 30), (60, 20)]
+    assert all(o["surround"] > 0.5 and 9 <= o["diameter"] <= 12 for o in found)
+
+
+def test_jobs_configuration_and_synthetic_rows(spark):
+    from chalkline.sources import jobs
+
+    conf = jobs.with_values({"strike": {"spacing_s": 2.0}, "modes": {"natural": {"pre_s": 5.0}}})
+    assert conf.strike.spacing_s == 2.0 and conf.modes["natural"].pre_s == 5.0 and conf.modes["strict"].pre_s == 2.0
+    rows = jobs.synthetic_features(spark, 2, 60)
+    assert rows.count() == 1200 and rows.where("motion_raw > 0").count() > 0
+    made = jobs.new_jobs(spark.createDataFrame([("/a.mp4",)], "source_path string").withColumn("at", F.timestamp_seconds(F.lit(0))), "at").first()
+    assert made.job.startswith("19700101-000000-") and len(made.job) == 24
+    table = spark.createDataFrame([("a", "queued", 0.0), ("b", "queued", 0.0)], "job string, status string, progress double")
+    updates = spark.createDataFrame([("a", "running", 0.5, 1), ("a", "done", 1.0, 2)], "job string, status string, progress double, updated_at int")
+    assert [(r.job, r.status) for r in jobs.latest_progress(table, updates).collect()] == [("b", "queued"), ("a", "done")]
+    shots = spark.createDataFrame([(1, 2, 0.0, 2.0), (1, 1, 3.0, 4.5)], "job_id bigint, shot_id int, clip_start double, clip_end double")
+    assert json.loads(jobs.export_metadata(shots, "strict").first().metadata) == {"mode": "strict", "shots": 2, "shot_ids": [1, 2], "duration": 3.5, "accurate": True}
