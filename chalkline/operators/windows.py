@@ -5,7 +5,7 @@ All frames are bounded rows or seconds of one recording; they share one sort, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chalkline.config import DEFAULT, Strike
@@ -30,7 +30,7 @@ def rows_frame(aggregate: str, before: int, after: int) -> Column:
     return F.expr(f"{aggregate} {_OVER} rows between {before} preceding and {after} following)")
 
 
-def ordered() -> Window:
+def ordered() -> WindowSpec:
     return Window.partitionBy(*KEYS).orderBy("t")
 
 
@@ -53,7 +53,7 @@ def reliable_tracks() -> Column:
     return F.count_if(good).over(whole) >= need
 
 
-def crossings_and_peaks(column: str, threshold: float) -> DataFrame:
+def crossings_and_peaks(column: str, threshold: float) -> tuple[Column, Column]:
     """(rises over the threshold, local maximum at or over it) for rows that are neither first nor last."""
     before, after = F.lag(column).over(ordered()), F.lead(column).over(ordered())
     x = F.col(column)
