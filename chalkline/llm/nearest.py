@@ -12,6 +12,8 @@ from chalkline.session import scratch_path
 
 #: Shard of the clock, in ms: with the entity, the key of the join's state.
 SHARD_MS = 600_000
+#: Rows of both sides that one state partition should hold.
+ROWS_PER_PARTITION = 50_000
 #: Times are placed in this range of ms, inside what a TIMESTAMP can hold; later ones have no partner.
 LIMIT_MS = 4_000_000_000_000
 
@@ -69,6 +71,10 @@ def match_nearest(
     b = right.select(*entity, right_id, to_ms(f"`{right_t}`").alias("ms")).where(F.abs("ms") < LIMIT_MS)
     root = scratch_path(spark, "nearest")
     sides = []
+    # Tables are streamed in a session of its own, whose number of state partitions follows their size: at most the
+    # setting of the caller's session, at least one a core.
+    stream = spark.newSession()
+    rows = 0
     for name, side in (("left", a), ("right", b)):
         if not side.isStreaming:
             # The end of a table: a row whose time takes the watermark past all others. The two sides' ends lie too far
@@ -77,8 +83,11 @@ def match_nearest(
             end = spark.range(1).select(*[F.lit(last.get(f.name)).cast(f.dataType).alias(f.name) for f in side.schema])
             side = side.unionByName(end)
             side.write.parquet(f"{root}/{name}")
-            side = spark.readStream.schema(side.schema).parquet(f"{root}/{name}")
+            rows += spark.read.parquet(f"{root}/{name}").count()
+            side = stream.readStream.schema(side.schema).parquet(f"{root}/{name}")
         sides.append(side)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stream.conf.set("spark.sql.shuffle.partitions", str(max(1, min(most, max(spark.sparkContext.defaultParallelism, rows // ROWS_PER_PARTITION)))))
     result = nearest_stream(*sides, entity, left_id, right_id, round(tolerance_s * 1000), lateness)
     query = (
         result.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
