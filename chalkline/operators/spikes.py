@@ -111,9 +111,11 @@ def fences_by_hour(long: DataFrame, source: Sequence[str], fields: Sequence[str]
     out = [*source, "hour"]
     for i in range(len(fields)):
         upper, lower = F.col(f"upper_{i}"), F.col(f"lower_{i}")
+        # An hour without a sketch of its own counts as the source does (greatest and least pass nulls over).
+        own_upper, own_lower = F.coalesce(f"own_upper_{i}", upper), F.coalesce(f"own_lower_{i}", lower)
         out += [
-            F.greatest(upper, F.least(F.col(f"own_upper_{i}"), upper * 2)).alias(f"upper_{i}"),
-            F.least(lower, F.greatest(F.col(f"own_lower_{i}"), lower / 2)).alias(f"lower_{i}"),
+            F.greatest(upper, F.least(own_upper, upper * 2)).alias(f"upper_{i}"),
+            F.least(lower, F.greatest(own_lower, lower / 2)).alias(f"lower_{i}"),
             F.col(f"mid_{i}"),
         ]
     return both.select(*out)

@@ -116,8 +116,8 @@ l as (select * from (select *, 0 field, v0 "value" from r union all select *, 1,
 k as (select job_id, layer, "hour", field, floor(ln("value") / {_WIDTH})::int bucket, count(*) n from l where "value" > 0 and "value" < 'infinity'::double group by all),
 km as (select job_id, layer, field, bucket, sum(n) n from k group by all),
 {_quantiles("own", "k", 'job_id, layer, "hour", field')}, {_quantiles("al", "km", "job_id, layer, field")},
-f as (select al.job_id, al.layer, h."hour", al.field, al.mid, greatest(al.upper, least(case when own.n >= 200 then own.upper end, al.upper * 2)) upper,
-   least(al.lower, greatest(case when own.n >= 200 then own.lower end, al.lower / 2)) lower
+f as (select al.job_id, al.layer, h."hour", al.field, al.mid, greatest(al.upper, least(case when own.n >= 200 then own.upper else al.upper end, al.upper * 2)) upper,
+   least(al.lower, greatest(case when own.n >= 200 then own.lower else al.lower end, al.lower / 2)) lower
    from al join (select distinct job_id, layer, "hour" from k) h on h.job_id = al.job_id and h.layer = al.layer
    left join own on own.job_id = al.job_id and own.layer = al.layer and own."hour" = h."hour" and own.field = al.field),
 j as (select l.*, upper, lower, mid, case when isnan("value") or "value" < 0 or isinf("value") then 'impossible' when "value" > upper then 'spike' when field <> 1 and "value" < lower then 'dropout' else '' end reason
