@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,20 +45,26 @@ def layer_merge(features: DataFrame) -> DataFrame:
     )
 
 
-def timeline(features: DataFrame, pause_s: int = 3600) -> DataFrame:
+def _clean(name: str) -> Column:
+    """A feature with its default in place of null; positions stay null."""
+    c = F.col(name)
+    if name == "view_type":
+        return F.coalesce(canonical_view(c), F.lit("other"))
+    if name in NUMBERS:
+        return F.coalesce(finite(c), F.lit(0.0))
+    return finite(c) if name in POSITIONS else F.coalesce(c, F.lit(FLAGS.get(name, 0)))
+
+
+def timeline(features: DataFrame, pause_s: int = 3600, columns: Sequence[str] = COLUMNS[4:]) -> DataFrame:
     """The merged layers with defaults in place of nulls and non-finite numbers, canonical views, and the `sitting`.
 
+    `columns` are those wanted besides job_id, layer and t: only they are read and shuffled.
+
     A job is a group of its own even if null. Rows without a finite time are left out. `sitting` is the ms at which the
     recording begins; a pause of `pause_s` or more ends it.
     """
-    merged = layer_merge(features.select(*COLUMNS))
-    clean = merged.select(
-        "job_id", "layer", "t", to_ms("t").alias("ms"), F.coalesce(canonical_view(F.col("view_type")), F.lit("other")).alias("view_type"),
-        *[F.coalesce(finite(F.col(c)), F.lit(0.0)).alias(c) for c in NUMBERS],
-        *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in COUNTS],
-        *[F.coalesce(F.col(c), F.lit(default)).alias(c) for c, default in FLAGS.items()],
-        *[finite(F.col(c)).alias(c) for c in POSITIONS],
-    )
+    merged = layer_merge(features.select("row_id", "job_id", "layer", "t", *columns))
+    clean = merged.select("job_id", "layer", "t", to_ms("t").alias("ms"), *[_clean(c).alias(c) for c in columns])
     spans = sittings(clean, ["job_id"], "ms", pause_s * 1000, pause_s * 1000).select("job_id", "shard", "sitting")
     placed = clean.withColumn("shard", shard_of("ms", pause_s * 1000))
     return join_by(placed, spans, ["job_id", "shard"]).drop("shard", "ms")

@@ -33,29 +33,29 @@ def boundary_violations(spark, folder):
 
 def repaired_views(spark, folder):
     """Views after the repair of wrong replay labels."""
-    return rules.repaired_views(tl(spark, folder)).select("job_id", micro("t").alias("t_us"), "repaired_view")
+    return rules.repaired_views(tl(spark, folder, "view_type", "green_ratio")).select("job_id", micro("t").alias("t_us"), "repaired_view")
 
 
 def confirmed_cuts(spark, folder):
     """Cuts and confirmed fades; the cut score is the distance to the row before, that two rows back their sum."""
-    rows = tl(spark, folder).withColumn("two", F.least(F.lit(1.0), c("scene_cut_score") + F.coalesce(F.lag("scene_cut_score").over(w.ordered()), F.lit(0.0))))
+    rows = tl(spark, folder, "scene_cut_score").withColumn("two", F.least(F.lit(1.0), c("scene_cut_score") + F.coalesce(F.lag("scene_cut_score").over(w.ordered()), F.lit(0.0))))
     return rules.confirmed_cuts(rows, "scene_cut_score", "two").where("cut").select("job_id", micro("t").alias("t_us"))
 
 
 def scene_segments(spark, folder):
     """Scenes between the cuts of the timeline, with the view in their middle."""
-    rows = tl(spark, folder).withColumn("cut", c("scene_cut_score") >= 0.42)
+    rows = tl(spark, folder, "scene_cut_score", "view_type").withColumn("cut", c("scene_cut_score") >= 0.42)
     return scenes.segment(rows, "cut").select("job_id", *us("start", "end"), "view_type", "n")
 
 
 def stable_speeds(spark, folder):
     """Speed of the cue ball from its place over the last 0.24 s."""
-    return rules.stable_speed(tl(spark, folder)).select("job_id", micro("t").alias("t_us"), F.rint(c("stable_speed") * 1000).cast("bigint").alias("stable_speed_e3"))
+    return rules.stable_speed(tl(spark, folder, "cue_ball_x", "cue_ball_y", "ball_diameter_px")).select("job_id", micro("t").alias("t_us"), F.rint(c("stable_speed") * 1000).cast("bigint").alias("stable_speed_e3"))
 
 
 def sampled_rows(spark, folder):
     """One row each half second of every recording."""
-    return rules.sampled(tl(spark, folder), 2.0).select("job_id", micro("t").alias("t_us"))
+    return rules.sampled(tl(spark, folder, "motion_raw"), 2.0).select("job_id", micro("t").alias("t_us"))
 
 
 def joined_seek(spark, folder):

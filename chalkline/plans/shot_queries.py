@@ -69,7 +69,7 @@ def frame_scenes(spark, folder):
     """Each sample with the scene it lies in: of several the one that began last, then the first view by name."""
     scenes = load(spark, folder, "scenes", "job_id", "start", "end", "view_type").where("start is not null and `end` > start")
     spans = scenes.select("job_id", F.col("start").alias("lo"), F.col("end").alias("hi"), F.coalesce("view_type", F.lit("other")).alias("scene_view"))
-    rows = tl(spark, folder).select("job_id", "t")
+    rows = tl(spark, folder, "motion_raw").select("job_id", "t")
     found = joins.within(rows, spans, ["job_id"], "t", "lo", "hi", closed=False)
     last = F.max_by("scene_view", F.struct("lo", "hi", "scene_view"))
     return found.groupBy("job_id", "t").agg(F.max("lo").alias("lo"), last.alias("scene_view")).select("job_id", micro("t").alias("t_us"), micro("lo").alias("scene_us"), "scene_view")
@@ -78,14 +78,14 @@ def frame_scenes(spark, folder):
 def near_cuts(spark, folder):
     """Samples less than 0.08 s from the beginning of a scene."""
     starts = load(spark, folder, "scenes", "job_id", "start").where("start is not null").select("job_id", F.round("start", 3).alias("cut"))
-    rows = tl(spark, folder).select("job_id", "t")
+    rows = tl(spark, folder, "motion_raw").select("job_id", "t")
     near = joins.nearest(rows, starts, ["job_id"], "t", "cut", 0.08)
     return near.where(F.abs(F.col("t") - F.col("nearest_at")) < 0.08).select("job_id", micro("t").alias("t_us"), micro("nearest_at").alias("cut_us"))
 
 
 def audio_near(spark, folder):
     """Loudest onset within 0.12 s of each sample, and the onset of the last sample of the coarse layer before it."""
-    rows = tl(spark, folder).withColumn("peak", w.seconds_frame("max(audio_onset)", 0.12, 0.12))
+    rows = tl(spark, folder, "audio_onset").withColumn("peak", w.seconds_frame("max(audio_onset)", 0.12, 0.12))
     coarse = rows.where("layer = 'coarse'").select(*KEYS, F.col("t").alias("at"), F.col("audio_onset").alias("before"))
     asof = joins.last_before(rows.select(*KEYS, "t", "peak"), coarse, KEYS, "t", "at", ["before"])
     return asof.select("job_id", micro("t").alias("t_us"), *us("peak", "before"))
@@ -93,7 +93,7 @@ def audio_near(spark, folder):
 
 def audio_seeds(spark, folder):
     """Audio peaks with no candidate within 1.5 s, none within 1.5 s of an earlier seed."""
-    rows = tl(spark, folder).withColumn("score", p.clip(F.greatest("audio_onset", "audio_highband")))
+    rows = tl(spark, folder, "audio_onset", "audio_highband").withColumn("score", p.clip(F.greatest("audio_onset", "audio_highband")))
     _, peak = w.crossings_and_peaks("score", 0.30)
     peaks = folds.strongest(rows.withColumn("peak", peak).where("peak"), "score", 1.2).select(*KEYS, "t")
     marks = candidates(spark, folder).select("job_id", F.col("t").alias("at"))
@@ -111,7 +111,7 @@ def scene_middles(spark, folder):
     """The sample nearest to the middle of each scene, the earlier of two."""
     scenes = load(spark, folder, "scenes", "job_id", "start", "end").where("start is not null and `end` > start").distinct()
     spans = scenes.select("job_id", F.col("start").alias("lo"), F.col("end").alias("hi"))
-    found = joins.within(tl(spark, folder).select("job_id", "t", "view_type"), spans, ["job_id"], "t", "lo", "hi", closed=False)
+    found = joins.within(tl(spark, folder, "view_type").select("job_id", "t", "view_type"), spans, ["job_id"], "t", "lo", "hi", closed=False)
     middle = F.abs(F.col("t") - (F.col("lo") + F.col("hi")) / 2)
     return found.groupBy("job_id", "lo", "hi").agg(F.min_by(F.struct("t", "view_type"), F.struct(middle, "t")).alias("x")).select(
         "job_id", micro("lo").alias("start_us"), micro("hi").alias("end_us"), micro("x.t").alias("t_us"), "x.view_type"
@@ -129,7 +129,7 @@ def merged_candidates(spark, folder):
 
 def next_candidates(spark, folder):
     """Each candidate with the next one of its recording, the recording's end if it is the last."""
-    rows = tl(spark, folder)
+    rows = tl(spark, folder, "motion_raw")
     found = in_recordings(candidates(spark, folder), rows, "t").join(recordings(rows), KEYS)
     after = F.lead("t").over(w.Window.partitionBy(*KEYS).orderBy("t", "candidate_id"))
     return found.select("candidate_id", micro("t").alias("t_us"), micro(F.coalesce(after, F.col("duration"))).alias("next_us"))
@@ -142,7 +142,7 @@ def phase_labels(spark, folder):
 
 def smoothed_motion(spark, folder):
     """The raw motion smoothed within the stretches between cuts."""
-    return stateful.smoothed(tl(spark, folder)).select("job_id", micro("t").alias("t_us"), "session", micro("smooth").alias("smooth"))
+    return stateful.smoothed(tl(spark, folder, "motion_raw", "scene_cut_score")).select("job_id", micro("t").alias("t_us"), "session", micro("smooth").alias("smooth"))
 
 
 def stops(spark, folder):
@@ -218,7 +218,7 @@ def refined_candidates(spark, folder):
 
 def replay_links(spark, folder):
     """Candidates that repeat an earlier one."""
-    rows = tl(spark, folder)
+    rows = tl(spark, folder, "motion_score", "view_type", "scene_cut_score")
     marks = in_recordings(candidates(spark, folder).select("job_id", "t", "confidence"), rows, "t").groupBy(*KEYS, "t").agg(F.max("confidence").alias("confidence"))
     signed = sh.signatures(marks, rows)
     wide = marks.select(*KEYS, "t", (F.col("t") - 1.0).alias("lo"), (F.col("t") + 1.0).alias("hi")).withColumnRenamed("t", "at")
@@ -244,21 +244,21 @@ def label_similarity(spark, folder):
 
 def shot_views(spark, folder):
     """The views shown during each clip."""
-    rows = tl(spark, folder)
+    rows = tl(spark, folder, "view_type")
     found = sh.views_between(in_recordings(clips(spark, folder), rows, "clip_start"), rows, "clip_start", "clip_end")
     return found.select("job_id", "shot_id", F.array_join("views", ",").alias("views"))
 
 
 def shot_preparations(spark, folder):
     """Where the preparation of each shot begins."""
-    rows = tl(spark, folder)
+    rows = tl(spark, folder, "motion_score")
     found = sh.preparation_start(in_recordings(clips(spark, folder).where("cue_strike is not null"), rows, "cue_strike"), rows, 6.0, "cue_strike")
     return found.select("job_id", "shot_id", micro("prep").alias("prep"))
 
 
 def shot_importance(spark, folder):
     """The importance of each clip."""
-    rows = tl(spark, folder)
+    rows = tl(spark, folder, "motion_score", "motion_area_ratio", "audio_rms")
     found = in_recordings(clips(spark, folder).where("cue_strike is not null and ball_motion_end is not null").drop("importance"), rows, "clip_start")
     return sh.importance(found, rows, stop="ball_motion_end", begin="cue_strike", replay=F.col("possible_replay")).select("job_id", "shot_id", micro("importance").alias("importance"))
 

@@ -16,13 +16,15 @@ def at() -> tuple:
     return ("job_id", micro("t").alias("t_us"))
 
 
-def tl(spark: SparkSession, folder: str) -> DataFrame:
-    return timeline(load(spark, folder, "frame_features", *COLUMNS))
+def tl(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The timeline of a folder, narrowed to `columns` where given."""
+    wanted = columns or COLUMNS[4:]
+    return timeline(load(spark, folder, "frame_features", "row_id", "job_id", "layer", "t", *wanted), columns=wanted)
 
 
 def merged_timeline(spark, folder):
     """One row per sample, its recording and a few of its values."""
-    return tl(spark, folder).select(*at(), "sitting", "layer", "view_type", micro("motion_raw").alias("motion_raw"), "ball_count", "table_observable")
+    return tl(spark, folder, "view_type", "motion_raw", "ball_count", "table_observable").select(*at(), "sitting", "layer", "view_type", micro("motion_raw").alias("motion_raw"), "ball_count", "table_observable")
 
 
 def row_predicates(spark, folder):
@@ -49,12 +51,12 @@ def activity_scores(spark, folder):
 def view_classes(spark, folder):
     """The camera view that the picture's shares decide (the table has no skin share; highband and cut score stand in)."""
     green, edges, skin, graphic = F.col("green_ratio"), F.col("edge_density"), F.col("audio_highband"), F.col("scene_cut_score")
-    return tl(spark, folder).select(*at(), p.view_decision(green, edges, skin, graphic).alias("view"))
+    return tl(spark, folder, "green_ratio", "edge_density", "audio_highband", "scene_cut_score").select(*at(), p.view_decision(green, edges, skin, graphic).alias("view"))
 
 
 def recording_facts(spark, folder):
     """Per recording: rows, whether tracks are reliable, shares of replay and green rows, whether replay labels are repaired."""
-    whole = tl(spark, folder).withColumn("by_tracks", w.reliable_tracks())
+    whole = tl(spark, folder, "view_type", "green_ratio", "cue_ball_track_confidence", "ball_diameter_px").withColumn("by_tracks", w.reliable_tracks())
     replay, green = F.avg(p.flag(F.col("view_type").isin(*p.REPLAYS))), F.avg(p.flag(F.col("green_ratio") >= 0.18))
     return whole.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n"), F.first("by_tracks").alias("by_tracks"), micro(replay).alias("replay_share"), micro(green).alias("green_share"),
@@ -64,7 +66,7 @@ def recording_facts(spark, folder):
 
 def local_normals(spark, folder):
     """Rise of the raw motion, and that rise against the 95th percentile of the 41 rows around."""
-    rows = tl(spark, folder).withColumn("onset", w.motion_onset())
+    rows = tl(spark, folder, "motion_raw").withColumn("onset", w.motion_onset())
     return rows.select(*at(), micro("onset").alias("onset"), micro(w.local_normal("onset")).alias("onset_norm"))
 
 
@@ -88,7 +90,7 @@ def quiet_before(spark, folder):
 
 def audio_peaks(spark, folder):
     """Local maxima of the audio score of 0.30 or more, the strongest first, none within 1.2 s of a stronger one."""
-    rows = tl(spark, folder).withColumn("score", p.clip(F.greatest("audio_onset", "audio_highband")))
+    rows = tl(spark, folder, "audio_onset", "audio_highband").withColumn("score", p.clip(F.greatest("audio_onset", "audio_highband")))
     crosses, peak = w.crossings_and_peaks("score", 0.30)
     return folds.strongest(rows.withColumn("peak", peak).where("peak"), "score", 1.2).select(*at(), micro("score").alias("score"))
 
@@ -96,7 +98,7 @@ def audio_peaks(spark, folder):
 def score_crossings(spark, folder):
     """Rises over 0.35 and peaks of the stored strike score."""
     crosses, peak = w.crossings_and_peaks("strike_score", DEFAULT.strike.min_confidence)
-    return tl(spark, folder).withColumns({"crosses": crosses, "peak": peak}).where("crosses or peak").select(*at(), "crosses", "peak")
+    return tl(spark, folder, "strike_score").withColumns({"crosses": crosses, "peak": peak}).where("crosses or peak").select(*at(), "crosses", "peak")
 
 
 FLOATS = ("stationary_ratio", "pre_quiet_ratio", "pre_raw_median", "pre_ball_quiet_ratio", "pre_ball_median", "sustained_ratio", "post_peak", "acceleration", "track", "contact", "approach", "displacement", "direction")
