@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -65,12 +66,14 @@ def squash(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 #: Letters of a block of the shift table, and of a search string.
 BLOCK = 5
 MATCH = 16
-#: Finds that a passage has at least, and rare ones among them: 25 words with 3 of them wrong keep more.
-LEAST = 5
-ANCHORS = 2
-#: Letters around rare finds in which the passage's common ones lie, and by which lost or added words move it.
-REACH = 1000
+#: Words before and after a passage's long equal stretches that are looked for one by one.
+EDGE = 8
+#: Stands for no number of finds.
+NONE = 10_000
+#: Letters by which lost or added words move a passage.
 DRIFT = 64
+#: Places among the items that are looked at in one go.
+EXPANDED = 4_000_000
 _TABLE_BITS = 20
 
 
@@ -159,7 +162,7 @@ def _mix(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 class Items:
     """The test items' letter codes, word starts and the search for their strings."""
 
-    #: A string that occurs at most so often among the items, or a word in so few of them, tells items apart.
+    #: A word in at most so many items tells items apart.
     RARE = 3
 
     def __init__(self, ids: Sequence[int], texts: Sequence[str]) -> None:
@@ -189,6 +192,51 @@ class Items:
             holders.setdefault(word, set()).add(item)
         #: Words that few items have: names, numbers, dates.
         self.rare = np.array([len(holders[w]) <= self.RARE for w in spelled], bool)
+        self._bounds: dict[int, tuple[int, int, list[int]]] = {}
+        self._least: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]] = {}
+
+    def word_bounds(self, i: int) -> tuple[int, int, list[int]]:
+        """First word of an item, the one after its last, and where each begins in `codes` (one more for the end)."""
+        if i not in self._bounds:
+            first, last = np.searchsorted(self.words, self.starts[i : i + 2]).tolist()
+            self._bounds[i] = first, last, self.bounds[first : last + 1].tolist()
+        return self._bounds[i]
+
+    def least(self, min_words: int, error_share: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, finds from each word, the same over the n windows up to it) for the lengths n that bound all passages.
+
+        The finds from a word are those that n words from there keep at least, whichever n // error_share of them are
+        wrong; 1 at least, NONE where fewer than n words follow. A passage of 2 * min_words or more has a part of
+        min_words or more with no larger a share wrong, and one of other length holds one of the lengths n.
+        """
+        if (min_words, error_share) not in self._least:
+            lengths = [min_words, *(n for n in range(min_words + 1, 2 * min_words) if n % error_share == 0)]
+            found = []
+            for n in lengths:
+                g = self._kept(n, n // error_share)
+                around = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, NONE, np.int16), g]), n).min(1)
+                found.append((n, g, around))
+            self._least[min_words, error_share] = found
+        return self._least[min_words, error_share]
+
+    def _kept(self, n: int, wrong: int) -> np.ndarray:
+        out = np.full(len(self.words), NONE, np.int16)
+        ends = np.searchsorted(self.words, np.append(self.starts, len(self.codes))[np.searchsorted(self.starts, self.words, side="right")])
+        a = np.flatnonzero(np.arange(len(self.words)) + n <= ends)
+        if not len(a):
+            return out
+        # First word whose string reaches beyond the start of each word, by place in the window.
+        reach = np.searchsorted(self.words, self.bounds - MATCH, side="right")
+        reach = np.stack([np.clip(reach[a + e] - a, 0, n) for e in range(n + 1)]).astype(np.int16)
+        after = np.arange(1, n + 1, dtype=np.int16)[:, None]
+        best = reach[:n]
+        least = reach[n].copy()
+        for k in range(wrong):
+            np.minimum(least, (best + np.maximum(reach[n] - after, 0)).min(0), out=least)
+            if k < wrong - 1:
+                best = np.stack([np.full(len(a), NONE, np.int16), *((best[:e] + np.maximum(reach[e] - after[:e], 0)).min(0) for e in range(1, n))])
+        out[a] = np.maximum(least, 1)
+        return out
 
 
 def find_leaks(items: Items, texts: Sequence[str], min_words: int = 25, error_share: int = 8) -> list[tuple[int, int, int]]:
@@ -214,42 +262,59 @@ def _expand(search: WuManber, place: np.ndarray, string: np.ndarray) -> tuple[np
 def _passages(items, codes, starts, place, string, min_words, error_share):
     """(text, item, words) for each chain of finds that makes a passage.
 
-    Finds are told by item and by diagonal (place in the texts less place in the item). A passage has words that tell
-    items apart, so at least ANCHORS of its strings are rare among the items: these alone pick text, item and
-    diagonal. The finds of common strings around them are looked up after that, for the one item.
+    Finds are told by item and by diagonal (place in the texts less place in the item). A string counts for every item
+    that has it, however many they are; the alignment decides for each text and item by itself.
     """
-    search = items.search
-    rare = search.offsets[string + 1] - search.offsets[string] <= items.RARE
-    here, there = _expand(search, place[rare], string[rare])
-    if not len(here):
-        return
-    doc = np.searchsorted(starts, here, side="right") - 1
+    doc = np.searchsorted(starts, place, side="right") - 1
+    within = place + MATCH <= starts[doc + 1]
+    place, string, doc = place[within], string[within], doc[within]
+    text = None
+    for part in _whole_texts(doc, items.search.offsets[string + 1] - items.search.offsets[string]):
+        for d, i, there, diagonal in _candidates(items, doc[part], place[part], string[part], min_words, error_share):
+            if text is None:
+                text = codes.tobytes()
+            order = np.lexsort((there, diagonal))
+            length = _longest(items, text, int(starts[d]), int(starts[d + 1]), i, there[order], diagonal[order], min_words, error_share)
+            if length:
+                yield d, i, length
+
+
+def _whole_texts(doc: np.ndarray, many: np.ndarray) -> Iterator[slice]:
+    """Slices of the finds by whole texts, of about EXPANDED places among the items each, or of one text."""
+    ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)) if len(doc) else np.empty(0, np.int64)
+    upto = np.concatenate([[0], np.cumsum(many)])
+    a = 0
+    while a < len(doc):
+        b = int(ends[max(np.searchsorted(upto[ends], upto[a] + EXPANDED, side="right") - 1, np.searchsorted(ends, a, side="right"))])
+        yield slice(a, b)
+        a = b
+
+
+def _candidates(items, doc, place, string, min_words, error_share):
+    """(text, item, places in the item, diagonals) of each chain with the finds that a passage keeps at least."""
+    many = items.search.offsets[string + 1] - items.search.offsets[string]
+    here, there = _expand(items.search, place, string)
+    doc = np.repeat(doc, many)
     item = np.searchsorted(items.starts, there, side="right") - 1
     diagonal = here - there
-    order = np.lexsort((diagonal, item, doc))
-    here, doc, item, diagonal = (x[order] for x in (here, doc, item, diagonal))
-    fresh = np.ones(len(here), bool)
+    order = np.lexsort((diagonal, doc * len(items.starts) + item))
+    doc, item, there, diagonal = (x[order] for x in (doc, item, there, diagonal))
+    fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > DRIFT)
     begin = np.flatnonzero(fresh)
-    finish = np.append(begin[1:], len(here))
-    good = finish - begin >= ANCHORS
-    text = None
+    finish = np.append(begin[1:], len(doc))
+    total = len(items.words) + 2 * min_words
+    at = np.sort((np.cumsum(fresh) - 1) * total + np.searchsorted(items.words, there))
+    at = at[np.diff(at, prepend=-1) > 0]
+    chain, word = at // total, at % total
+    alone = np.ones(len(at), bool)
+    alone[1:] = np.diff(at) > 1
+    good = np.zeros(len(begin), bool)
+    for n, exact, around in items.least(min_words, error_share):
+        finds = np.searchsorted(at, at + n) - np.arange(len(at))
+        good[chain[finds >= np.where(alone, around[word], exact[word])]] = True
     for a, b in zip(begin[good].tolist(), finish[good].tolist()):
-        d, i = int(doc[a]), int(item[a])
-        lo, hi = int(starts[d]), int(starts[d + 1])
-        low, high = int(here[a:b].min()), int(here[a:b].max())
-        near = slice(*np.searchsorted(place, [max(lo, low - REACH), min(hi - MATCH, high + REACH) + 1]))
-        at, found = _expand(search, place[near], string[near])
-        shift = at - found
-        mine = (found >= items.starts[i]) & (found < items.starts[i + 1]) & (shift >= diagonal[a] - DRIFT) & (shift <= diagonal[b - 1] + DRIFT)
-        if np.count_nonzero(mine) < LEAST:
-            continue
-        if text is None:
-            text = codes.tobytes()
-        order = np.lexsort((found[mine], shift[mine]))
-        length = _longest(items, text, lo, hi, i, found[mine][order], shift[mine][order], min_words, error_share)
-        if length:
-            yield d, i, length
+        yield int(doc[a]), int(item[a]), there[a:b], diagonal[a:b]
 
 
 def _segments(items, text, lo, hi, i, there, diagonal):
@@ -273,16 +338,21 @@ def _segments(items, text, lo, hi, i, there, diagonal):
 def _longest(items, text, lo, hi, i, there, diagonal, min_words, error_share):
     """Words of the longest admissible passage, 0 if none."""
     segments = _segments(items, text, lo, hi, i, there, diagonal)
-    first = int(np.searchsorted(items.words, items.starts[i]))
-    last = int(np.searchsorted(items.words, items.starts[i + 1]))
-    bounds = items.bounds[first : last + 1]
+    first, last, bounds = items.word_bounds(i)
     best = 0
     for chain in _chains(segments):
-        known = np.zeros(last - first, bool)
+        # Words next to the segments are filled in for EDGE words at most.
+        left = max(bisect_right(bounds, chain[0][0]) - 1 - EDGE, 0)
+        right = min(max(bisect_left(bounds, b) for _, b, _ in chain) + EDGE, last - first)
+        if right - left < min_words:
+            continue
+        known = bytearray(last - first)
         for a, b, _ in chain:
-            known[np.searchsorted(bounds, a) : max(np.searchsorted(bounds, b, side="right") - 1, 0)] = True
+            for w in range(bisect_left(bounds, a), bisect_right(bounds, b) - 1):
+                known[w] = 1
         _fill_gaps(items, text, lo, hi, chain, known, bounds)
-        best = max(best, _admissible(known, items.rare[first:last], min_words, error_share))
+        if known.count(1) >= min_words - min_words // error_share:
+            best = max(best, _admissible(np.frombuffer(known, bool), items.rare[first:last], min_words, error_share))
     return best
 
 
@@ -307,24 +377,24 @@ def _fill_gaps(items, text, lo, hi, chain, known, bounds):
     for (a, b, g), following in zip(chain, [*chain[1:], None]):
         at = b + g
         until = following[0] + following[2] if following else min(hi, at + 60)
-        w = int(np.searchsorted(bounds, b))
-        stop = int(np.searchsorted(bounds, following[0])) if following else min(len(known), w + 8)
+        w = bisect_left(bounds, b)
+        stop = bisect_left(bounds, following[0]) if following else min(len(known), w + EDGE)
         while w < stop:
             if not known[w]:
                 word = items.bytes[bounds[w] : bounds[w + 1]]
                 near = text.find(word, at, min(until, at + 24 + len(word)))
                 if near >= 0 and (len(word) > 2 or near == at):
-                    known[w] = True
+                    known[w] = 1
                     at = near + len(word)
             w += 1
     a, b, g = chain[0]
-    at, w = a + g, int(np.searchsorted(bounds, a, side="right")) - 1
-    for w in range(w, max(w - 8, -1), -1):
+    at, w = a + g, bisect_right(bounds, a) - 1
+    for w in range(w, max(w - EDGE, -1), -1):
         if not known[w]:
             word = items.bytes[bounds[w] : bounds[w + 1]]
             near = text.rfind(word, max(lo, at - 24 - len(word)), at)
             if near >= 0 and (len(word) > 2 or near + len(word) == at):
-                known[w] = True
+                known[w] = 1
                 at = near
 
 
@@ -336,7 +406,7 @@ def _admissible(known, rare, min_words, error_share):
     """
     n = len(known)
     hits = np.flatnonzero(known)
-    if len(hits) < min_words - n // error_share - 1 or n < min_words:
+    if len(hits) < min_words - min_words // error_share or n < min_words:
         return 0
     bad = np.concatenate([[0], np.cumsum(~known)])
     named = np.concatenate([[0], np.cumsum(rare)])
@@ -352,8 +422,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = 25, er
 
     A passage is `min_words` or more of the item's words in order, of which at most one in `error_share` is lost,
     misspelled or replaced. Case, accents, punctuation, spacing, hyphens, line ends and lines that only number a page
-    do not matter. Common turns of phrase shared by many items, or a text told alike with other names, are no passage: of the words that
-    tell items apart at least half must be there.
+    do not matter. A passage that many items share is found for each of them. A text told alike with other names is no
+    passage: of the words that tell items apart at least half must be there.
 
     documents has `doc_id`, `text`; items has `item_id`, `text`; other columns are ignored. Null and empty texts hold
     nothing; an item shorter than `min_words` is found nowhere; items of equal text are all reported; repeated rows

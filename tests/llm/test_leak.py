@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -80,3 +81,31 @@ def test_a_long_text_and_hyphens():
     text = " ".join(sentence(rnd, 200_000)) + " " + broken
     found = find_leaks(Items([7], [" ".join(item)]), ["nothing here", text, None])
     assert [(d, i) for d, i, _ in found] == [(1, 7)] and found[0][2] >= 38
+
+
+def test_a_passage_of_many_items_is_found_for_each():
+    rnd = random.Random(11)
+    shared = sentence(rnd, 40)
+    versions = [" ".join(sentence(rnd, 30) + shared + sentence(rnd, 30)) for _ in range(12)]
+    own = " ".join(sentence(rnd, 60))
+    broken = [w if k % 9 != 4 else "zonk" for k, w in enumerate(shared)]
+    texts = [" ".join(sentence(rnd, 50) + part + sentence(rnd, 50)) for part in (shared, broken, shared[:20], [])]
+    found = find_leaks(Items(range(13), [*versions, own]), texts)
+    assert {(d, i) for d, i, _ in found} == {(d, i) for d in (0, 1) for i in range(12)}
+
+
+def test_fewest_finds_of_a_passage():
+    rnd = random.Random(12)
+    words = [rnd.choice(["a", "ab", "abcdefghijklm", "abcd", "abcdef"]) for _ in range(15)]
+    items = Items([1, 2], [" ".join(words), "ba " * 14])
+    (n, exact, around), *longer = items.least(9, 4)
+    assert n == 9 and [x[0] for x in longer] == [12, 16]
+    begins = items.words.tolist() + [len(items.codes)]
+    for a in range(7):
+        kept = []
+        for wrong in itertools.combinations(range(a, a + 9), 2):
+            strings = [s for s in range(a, a + 9) if begins[s] + MATCH <= begins[a + 9]]
+            kept.append(sum(all(not s <= w or begins[s] + MATCH <= begins[w] for w in wrong) for s in strings))
+        assert exact[a] == max(min(kept), 1)
+        assert around[a] == min(exact[: a + 1])
+    assert (exact[7:15] > 1000).all()
