@@ -198,30 +198,167 @@ def _retyped(both: DataFrame, stats: DataFrame, renames: DataFrame) -> DataFrame
     return known.unionByName(late)
 
 
-def consistent_table(lines: DataFrame, columns: dict[str, tuple[str, Sequence[str]]], c: FileColumns = FileColumns()) -> DataFrame:
+def _element(value: Column) -> Column:
+    """The only element of a one-element list, else null."""
+    return F.when(F.isnull(F.try_variant_get(value, "$[1]", "variant")), F.try_variant_get(value, "$[0]", "variant"))
+
+
+def _field(doc: Column, name: str) -> Column:
+    """A top-level field of an object, whatever its name."""
+    for quote in "'\"":
+        if quote not in name:
+            return F.try_variant_get(doc, f"$[{quote}{name}{quote}]", "variant")
+    return F.try_variant_get(doc, "$", "map<string,variant>")[F.lit(name)]
+
+
+def first_names(lines: DataFrame, c: FileColumns = FileColumns()) -> DataFrame:
+    """`file`, `path`, `first`: the name that each file's field had in the first file of its group that holds it.
+
+    Fields are followed from file to file under their name or through a rename; one that comes back after a file without
+    it starts anew. A name can so stand for different fields in two files. In a file where two fields had the same first name
+    all keep their own. Pointers to the file before are doubled until
+    each meets the first file.
+    """
+    stats = cut(file_stats(path_values(lines, c).where("file is not null")), "file-stats")
+    pairs = file_pairs(stats)
+    here = stats.select("file", "path")
+    before = stats.select(F.col("file").alias("prior"), "path")
+    renames = schema_changes(lines, c).where("change_kind = 'renamed'").select(F.col("file_id").alias("file"), F.col("new_name").alias("path"), F.col("field_name").alias("old"))
+    links = (
+        here.join(pairs, "file").join(before, ["prior", "path"]).select("file", "path", F.col("prior").alias("to"), F.col("path").alias("old"))
+        .unionByName(renames.join(pairs, "file").select("file", "path", F.col("prior").alias("to"), "old"))
+    )
+    back = cut(here.join(links, ["file", "path"], "left"), "field-links")
+    while True:
+        onward = back.where("to is not null").select(F.col("file").alias("to"), F.col("path").alias("old"), F.col("to").alias("_to"), F.col("old").alias("_old"))
+        step = cut(back.join(onward, ["to", "old"], "left"), "field-links")
+        if step.where("_to is not null").isEmpty():
+            found = back.select("file", "path", F.coalesce("old", "path").alias("first"))
+            clear = found.groupBy("file").agg((F.count("first") == F.countDistinct("first")).alias("clear"))
+            return found.join(clear, "file").select("file", "path", F.when(F.col("clear"), F.col("first")).otherwise(F.col("path")).alias("first"))
+        back = step.select("file", "path", F.coalesce("_to", "to").alias("to"), F.when(F.col("_to").isNotNull(), F.col("_old")).otherwise(F.col("old")).alias("old"))
+
+
+def whole_table(lines: DataFrame, c: FileColumns = FileColumns()) -> DataFrame:
+    """`consistent_table` of every top-level field of the lines, see `field_columns`; file by file under its name there.
+
+    Lines without a file have no history: their fields go by name.
+    """
+    firsts = cut(first_names(lines, c), "first-names")
+    columns = field_columns(lines, firsts, c)
+    names = firsts.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("first", "path"))).alias("_names"))
+    return consistent_table(lines.join(names, F.col(f"`{c.file}`") == F.col("file"), "left").drop("file"), columns, c, lists=True, names="_names")
+
+
+def field_columns(
+    lines: DataFrame, firsts: DataFrame, c: FileColumns = FileColumns(), taken: Sequence[str] = ("file_id", "job_id", "record_key", "failed")
+) -> dict[str, tuple[str, list[str]]]:
+    """Columns for `consistent_table` that hold every top-level path of the lines: type and first names, commonest first.
+
+    Fields are told by their first names (`first_names`). Names that a rename links are one column unless both are
+    fields of one file; renames seen in most files are taken first. The type is that of at least half of the column's
+    values: boolean, array<string>, seconds (any number with a fraction; whole ones then are thousandths), bigint, else
+    string. A column is named after its commonest name, with a number added if that is `taken` or differs in case only.
+
+    The driver sees one row per name, per pair of names in a file and per rename.
+    """
+    values = path_values(lines, c).join(firsts, ["file", "path"], "left").withColumn("path", F.coalesce("first", "path"))
+    inner = F.coalesce(*[F.try_variant_get(F.coalesce(_element(F.col("value")), F.col("value")), p, "variant") for p in ("$.value", "$.v", "$")])
+    seen = values.select("path", inner.alias("inner"), (F.col("type") == "array").alias("listed"), F.isnotnull(F.try_variant_get("value", "$[1]", "variant")).alias("several"))
+    seen = seen.select("path", "listed", "several", raw_type(F.schema_of_variant("inner")).alias("kind"), F.trim(F.try_variant_get("inner", "$", "string")).alias("text"))
+    number = F.when(F.col("kind") != "boolean", F.col("text").try_cast("double"))
+    decimal = F.col("text").contains(".") & number.isNotNull()
+    truth = (F.col("kind") == "boolean") | F.lower("text").isin("true", "t", "yes", "y", "false", "f", "no", "n")
+    counts = {
+        r["path"]: r.asDict()
+        for r in seen.groupBy("path").agg(
+            F.count("text").alias("n"), F.count_if(truth).alias("truth"), F.count(number).alias("number"), F.count_if(decimal).alias("decimal"),
+            F.count_if(decimal & (number != F.floor(number))).alias("fraction"), F.count_if("listed").alias("listed"), F.count_if("several").alias("several"),
+        ).collect()
+    }
+    files = firsts.select("file", F.col("first").alias("path"))
+    other = files.select("file", F.col("path").alias("other"))
+    together = {(r[0], r[1]) for r in files.join(other, "file").where("path < other").select("path", "other").distinct().collect()}
+    renames = schema_changes(lines, c).where("change_kind = 'renamed'")
+    old, new = F.col("field_name"), F.col("new_name")
+    links = renames.groupBy(F.least(old, new).alias("a"), F.greatest(old, new).alias("b")).count().collect()
+    group = {name: {name} for name in counts}
+    for a, b, _ in sorted(links, key=lambda r: (-r[2], r[0], r[1])):
+        if a in group and b in group and group[a] is not group[b] and not any((min(x, y), max(x, y)) in together for x in group[a] for y in group[b]):
+            group[a] |= group[b]
+            for name in group[b]:
+                group[name] = group[a]
+    out: dict[str, tuple[str, list[str]]] = {}
+    used = {t.lower() for t in taken}
+    for names in sorted({id(g): sorted(g, key=lambda x: (-counts[x]["n"], x)) for g in group.values()}.values()):
+        column, k = names[0], 1
+        while column.lower() in used:
+            k += 1
+            column = f"{names[0]}_{k}"
+        used.add(column.lower())
+        out[column] = (_kind({k: sum(counts[x][k] for x in names) for k in ("n", "truth", "number", "decimal", "fraction", "listed", "several")}), names)
+    return out
+
+
+def _kind(n: dict[str, int]) -> str:
+    if n["several"] and 2 * n["listed"] >= n["n"]:
+        return "array<string>"
+    if n["truth"] and 2 * n["truth"] >= n["n"]:
+        return "boolean"
+    if n["number"] and 2 * n["number"] >= n["n"]:
+        return "seconds" if n["fraction"] and 2 * n["fraction"] >= n["decimal"] else "bigint"
+    return "string"
+
+
+def consistent_table(lines: DataFrame, columns: dict[str, tuple[str, Sequence[str]]], c: FileColumns = FileColumns(), lists: bool = False, names: str | None = None) -> DataFrame:
     """One typed row per good line: file, group, record, the `columns`, and `failed` casts.
 
     `columns` maps a column to its type and the names its field has had; the first with a value counts. `failed` maps a
     column to the text that could not be cast (the column then is null). Types are Spark's, or seconds: times that are
-    written as decimals in seconds and as whole numbers in milliseconds. Wrapped and quoted values are unwrapped first.
+    written as decimals in seconds and as whole numbers in milliseconds. Wrapped and quoted values are unwrapped first,
+    with `lists` also one-element lists. An array<string> can be written as texts joined by "|".
+    `names` is a column with a map from the names in `columns` to those in the line's file, if they differ by file; where
+    it is null the names are taken as they are.
     """
-    keep = [F.col(f"`{name}`").alias(alias) for name, alias in ((c.file, "file_id"), (c.group, "job_id"), (c.record, "record_key"))]
+    keep = [F.col(f"`{name}`").alias(alias) for name, alias in ((c.file, "file_id"), (c.group, "job_id"), (c.record, "record_key"), *([(names, names)] if names else []))]
     placed = parse_lines(lines, c.payload, *keep).where(F.schema_of_variant("doc").startswith("OBJECT"))
-    out, failed = {}, []
-    for name, (kind, aliases) in columns.items():
-        raw = F.coalesce(*[F.try_variant_get("doc", f"$['{a}']", "variant") for a in aliases])
-        inner = F.coalesce(*[F.try_variant_get(raw, path, "variant") for path in ("$.value", "$.v", "$")])
-        text = F.try_variant_get(inner, "$", "string")
+    # Step by step, each value computed once: the raw values as one list, their texts by one lambda, then the casts.
+    if names is None:
+        each = [F.coalesce(*[_field(F.col("doc"), a) for a in aliases]) for _, aliases in columns.values()]
+    else:
+        placed = placed.withColumn("_map", F.try_variant_get("doc", "$", "map<string,variant>"))
+        own = [F.coalesce(*[F.col("_map")[F.col(names)[a]] for a in aliases]) for _, aliases in columns.values()]
+        each = [F.when(F.col(names).isNotNull(), o).otherwise(F.coalesce(*[F.col("_map")[F.lit(a)] for a in aliases])) for o, (_, aliases) in zip(own, columns.values())]
+    raws = placed.select("file_id", "job_id", "record_key", F.array(*each).alias("_raw"))
+
+    def unwrapped(raw: Column) -> Column:
+        return F.coalesce(*[F.try_variant_get(raw, path, "variant") for path in ("$.value", "$.v", "$")])
+
+    def described(inner: Column) -> Column:
+        return F.struct(F.try_variant_get(inner, "$", "string").alias("text"), raw_type(F.schema_of_variant(inner)).alias("type"))
+
+    bare = F.transform("_raw", lambda raw: unwrapped(F.coalesce(_element(raw), raw) if lists else raw))
+    described_rows = raws.withColumn("_inner", bare).withColumn("_all", F.transform("_inner", described))
+    out, texts = [], []
+    for k, (kind, _) in enumerate(columns.values()):
+        text, of = F.col("_all")[k]["text"], F.col("_all")[k]["type"]
         if kind == "boolean":
             low = F.lower(F.trim(text))
             value = F.when(low.isin("true", "t", "yes", "y", "1"), True).when(low.isin("false", "f", "no", "n", "0"), False)
         elif kind == "seconds":
             number = text.try_cast("double")
-            whole = (raw_type(F.schema_of_variant(inner)) == "integer") | ((raw_type(F.schema_of_variant(inner)) == "string") & text.rlike(r"^\s*\d{4,}\s*$"))
+            whole = (of == "integer") | ((of == "string") & text.rlike(r"^\s*\d{4,}\s*$"))
             value = F.when(whole, number / 1000).otherwise(number)
+        elif kind == "bigint":
+            number = text.try_cast("decimal(38,6)")
+            value = F.when(number == F.floor(number), number.try_cast("bigint"))
+        elif kind == "array<string>":
+            value = F.coalesce(F.try_variant_get(unwrapped(F.col("_raw")[k]), "$", kind), F.split(text, r"\|"))
         else:
             value = text.try_cast(kind)
-        out[name] = value
-        failed.append(F.when(text.isNotNull() & value.isNull(), F.struct(F.lit(name).alias("key"), text.alias("value"))))
+        out.append(value.alias(f"_{k}"))
+        texts.append(text)
+    typed = described_rows.select("file_id", "job_id", "record_key", "_all", *out)
+    failed = [F.when(texts[k].isNotNull() & F.isnull(f"_{k}"), F.struct(F.lit(name).alias("key"), texts[k].alias("value"))) for k, name in enumerate(columns)]
     report = F.map_from_entries(F.filter(F.array(*failed), lambda x: x.isNotNull()))
-    return placed.select("file_id", "job_id", "record_key", *[v.alias(k) for k, v in out.items()], report.alias("failed"))
+    return typed.select("file_id", "job_id", "record_key", *[F.col(f"_{k}").alias(name) for k, name in enumerate(columns)], report.alias("failed"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.operators.drift import consistent_table, schema_changes
+from chalkline.operators.drift import consistent_table, schema_changes, whole_table
 from chalkline.operators.grid import complete_grid
 from chalkline.operators.intervals import periods_and_gaps
 from chalkline.operators.spikes import Reading, flag_readings
@@ -62,6 +62,11 @@ def p4_table(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("n_failed", F.size("failed")).drop("failed")
 
 
+def p4_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """The older files as one table of all their fields, with the texts of the casts that failed in a row."""
+    return whole_table(load(spark, folder, "raw_records", *RAW))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Periods and gaps of shots and scenes."""
     parts = [
@@ -73,7 +78,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("job_id", "table_name", "kind", "start_ms", "end_ms")
 
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p2_found": p2_found, "p2_grid": p2_grid, "p4_found": p4_found, "p4_table": p4_table, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p2_found": p2_found, "p2_grid": p2_grid, "p4_found": p4_found, "p4_table": p4_table, "p4_fields": p4_fields, "p6_found": p6_found}
 
 _P6 = """
 , {t}_v as (select distinct job_id, cast(round({a} * 1000) as bigint) lo, cast(round({b} * 1000) as bigint) hi from {t}

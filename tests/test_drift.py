@@ -1,7 +1,7 @@
 import datetime as dt
 import json
 
-from chalkline.operators.drift import consistent_table, schema_changes
+from chalkline.operators.drift import consistent_table, field_columns, first_names, schema_changes, whole_table
 
 SCHEMA = "file_id bigint, job_id bigint, written_at timestamp, record_key bigint, payload string, path string, extra int"
 
@@ -61,3 +61,49 @@ def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert schema_changes(df).count() == 0
     assert consistent_table(df, {"a": ("double", ("a",))}).count() == 0
+
+
+def test_every_field_gets_a_typed_column(spark):
+    files = [
+        (1, 1, 0, [(1, {"s": 1.25, "ok": True, "view": "main", "n": 3, "other": 5.5, "tags": ["a", "b"], "job_id": "x", "O'k \"q\"": 1}), (2, {"s": 2.5, "ok": False, "view": ["side"], "n": 4.0, "other": 6.5, "tags": "a|c"})]),
+        # s is called sec and view viewType; other stays
+        (1, 2, 1, [(2, {"sec": 2500, "ok": "no", "viewType": ["side"], "n": "4", "other": {"v": 6.5}, "tags": ["c"]}), (3, {"sec": {"value": 3.5}, "ok": "maybe", "viewType": "main", "n": 5, "other": 1, "e": {"p": 1}})]),
+    ]
+    lines = table(spark, files)
+    columns = field_columns(lines, first_names(lines))
+    assert {k: (v[0], sorted(v[1])) for k, v in columns.items()} == {
+        "s": ("seconds", ["s"]), "ok": ("boolean", ["ok"]), "view": ("string", ["view"]), "n": ("bigint", ["n"]),
+        "other": ("seconds", ["other"]), "tags": ("array<string>", ["tags"]), "e": ("string", ["e"]), "job_id_2": ("string", ["job_id"]), "O'k \"q\"": ("bigint", ["O'k \"q\""]),
+    }
+    got = {(r.file_id, r.record_key): r for r in whole_table(lines).collect()}
+    assert [got[k].s for k in sorted(got)] == [1.25, 2.5, 2.5, 3.5]
+    assert [got[k].ok for k in sorted(got)] == [True, False, False, None]
+    assert [got[k].view for k in sorted(got)] == ["main", "side", "side", "main"]
+    assert [got[k].n for k in sorted(got)] == [3, 4, 4, 5]
+    assert [got[k].other for k in sorted(got)] == [5.5, 6.5, 6.5, 0.001]
+    assert [got[k].tags for k in sorted(got)] == [["a", "b"], ["a", "c"], ["c"], None]
+    assert got[1, 1]["O'k \"q\""] == 1 and got[1, 1]["job_id_2"] == "x" and got[2, 3]["e"] == '{"p":1}'
+    assert got[2, 3].failed == {"ok": "maybe"}
+
+
+def test_a_name_that_stands_for_another_field_later(spark):
+    files = [
+        (1, 1, 0, [(1, {"a": 1.5, "b": 7.5}), (2, {"a": 2.5, "b": 8.5})]),
+        (1, 2, 1, [(1, {"a": 1.5, "bb": 7.5}), (2, {"a": 2.5, "bb": 8.5})]),
+        (1, 3, 2, [(1, {"b": 1.5, "bb": 7.5}), (2, {"b": 2.5, "bb": 8.5})]),
+        (1, 4, 3, [(2, {"b": 2500, "bb": 8500})]),
+        (2, 5, 0, [(7, {"bb": 0.5}), (8, {"bb": 0.25})]),
+        (None, None, 0, [(9, {"a": 9.5})]),
+    ]
+    got = sorted((r.file_id or 0, r.record_key, r.a, r.b) for r in whole_table(table(spark, [(j, f, d, x) for j, f, d, x in files])).collect())
+    assert got == [(0, 9, 9.5, None), *[(f, k, k + 0.5, k + 6.5) for f in (1, 2, 3) for k in (1, 2)], (4, 2, 2.5, 8.5), (5, 7, None, 0.5), (5, 8, None, 0.25)]
+
+
+def test_a_name_given_again_beside_the_renamed_field_loses_nothing(spark):
+    files = [
+        (1, 1, 0, [(1, {"a": 1.5}), (2, {"a": 2.5})]),
+        (1, 2, 1, [(1, {"x": 1.5}), (2, {"x": 2.5})]),
+        (1, 3, 2, [(1, {"x": 1.5, "a": 9.5}), (2, {"x": 2.5, "a": 8.5})]),
+    ]
+    got = {(r.file_id, r.record_key): (r.a, r.x) for r in whole_table(table(spark, files)).collect()}
+    assert got[3, 1] == (9.5, 1.5) and got[3, 2] == (8.5, 2.5) and got[1, 1] == (1.5, None)
