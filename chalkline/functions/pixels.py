@@ -40,7 +40,7 @@ def edge_density(rgb: np.ndarray, threshold: float = 60.0) -> float:
     return float((np.hypot(gx, gy) * 2 > threshold).mean())
 
 
-def colour_histogram(h: np.ndarray, bins: int = 8) -> np.ndarray:
+def colour_histogram(h: np.ndarray, bins: int = 32) -> np.ndarray:
     """Normalised joint histogram of hue, saturation and value."""
     edges = [np.linspace(0, top, bins + 1) for top in (180, 256, 256)]
     counts = np.histogramdd(h.reshape(-1, 3), edges)[0].ravel()

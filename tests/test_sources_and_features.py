@@ -40,6 +40,18 @@ def test_tracking_by_recording(spark):
     assert {r.diameter for r in robust_diameter(df.where("x is not null"), ["job_id"]).collect()} == {12.0}
 
 
+def test_highlights_and_still_hidden_tracks_do_not_count(spark):
+    rows = [(1, i / 10, "ball", 10.0 + 10 * i, 10.0, 12.0, 0.9, 0.1, 0.3, 0.9) for i in range(3)]  # not round
+    rows += [(1, i / 10, "ball", 10.0 + 10 * i, 300.0, 12.0, 0.9, 0.1, 0.9, 0.9) for i in range(3)]
+    rows += [(1, i / 10, "ball", 500.0, 300.0, 12.0, 0.9, 0.1, 0.9, 0.9) for i in range(2)]  # still, then hidden
+    rows += [(1, i / 10, "cue", x, 600.0, 12.0, sure, colour, 0.9, 0.9) for i in range(3) for x, sure, colour in ((100.0, 0.9, 0.7), (400.0, 0.8, 0.95))]
+    df = spark.createDataFrame(rows, "job_id bigint, t double, label string, x double, y double, diameter double, confidence double, colour double, shape double, surround double")
+    tracks = track_objects(df, ["job_id"]).cache()
+    last = {r.t: r for r in track_statistics(tracks, ["job_id"]).collect()}[0.2]
+    assert (last.balls, last.moving, last.hidden, round(last.mean_speed)) == (5, 1, 0, 50)
+    assert tracks.where(f"track = {last.cue_track}").first().x == 400.0
+
+
 def test_truth_documents(spark):
     docs = {
         "a": {"labels": [], "shots": [{"cue_strike": 1.0, "ball_motion_end": 2.0}, {"cue_strike": 5.0}]},
@@ -142,3 +154,8 @@ def test_jobs_configuration_and_synthetic_rows(spark):
     assert [(r.job, r.status) for r in jobs.latest_progress(table, updates).collect()] == [("b", "queued"), ("a", "done")]
     shots = spark.createDataFrame([(1, 2, 0.0, 2.0), (1, 1, 3.0, 4.5)], "job_id bigint, shot_id int, clip_start double, clip_end double")
     assert json.loads(jobs.export_metadata(shots, "strict").first().metadata) == {"mode": "strict", "shots": 2, "shot_ids": [1, 2], "duration": 3.5, "accurate": True}
+
+
+def test_histogram_tells_32_steps_of_a_channel_apart():
+    near = [pixels.colour_histogram(np.full((4, 4, 3), [60.0, 100.0, v])) for v in (100, 110)]
+    assert len(near[0]) == 32**3 and pixels.histogram_distance(*near) > 0.4
