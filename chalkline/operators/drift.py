@@ -68,7 +68,9 @@ def plain_value(value: Column) -> Column:
 
     Numbers come out as whole thousandths, truth values as 1000 and 0, so that 12.5, "12.500" and {"v": 12.5} agree.
     """
-    inner = F.coalesce(F.try_variant_get(value, "$.value", "string"), F.try_variant_get(value, "$.v", "string"), F.try_variant_get(value, "$", "string"))
+    each = [F.try_variant_get(value, path, "string") for path in ("$.value", "$.v")]
+    only = F.when(F.isnull(F.try_variant_get(value, "$[1]", "variant")), F.try_variant_get(value, "$[0]", "string"))
+    inner = F.coalesce(*each, only, F.try_variant_get(value, "$", "string"))
     text = F.trim(inner)
     low = F.lower(text)
     as_number = text.try_cast("decimal(28,6)")

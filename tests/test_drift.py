@@ -107,3 +107,11 @@ def test_a_name_given_again_beside_the_renamed_field_loses_nothing(spark):
     ]
     got = {(r.file_id, r.record_key): (r.a, r.x) for r in whole_table(table(spark, files)).collect()}
     assert got[3, 1] == (9.5, 1.5) and got[3, 2] == (8.5, 2.5) and got[1, 1] == (1.5, None)
+
+
+def test_a_field_renamed_and_wrapped_into_a_list(spark):
+    files = [
+        (1, 1, 0, [(1, {"a": "x", "b": [1, 2]}), (2, {"a": "y", "b": [3, 4]})]),
+        (1, 2, 1, [(1, {"p": ["x"], "q": 1}), (2, {"p": ["y"], "q": 3})]),
+    ]
+    assert changes(spark, files) == [(2, "added", "q", ""), (2, "removed", "b", ""), (2, "renamed", "a", "p"), (2, "retyped", "p", "")]
