@@ -14,7 +14,7 @@ from chalkline.operators.sequence import SHARD_MS, join_by, shard_of, to_ms
 
 @dataclass(frozen=True)
 class Reading:
-    """A measured column. `zero_is_normal`: a source at rest delivers 0, so 0 is neither drop-out nor stuck."""
+    """A measured column. `zero_is_normal`: a source at rest delivers 0, so 0 is neither drop-out nor stuck, and the field has no lower fence."""
 
     name: str
     zero_is_normal: bool = False
