@@ -106,41 +106,68 @@ where not coalesce(case f.field_name when 'audio_onset' then v.a else v.m end, f
 """
 
 _WIDTH = repr(math.log(1.02 / 0.98))
+_SOURCE = "job_id, layer, field"
+_HOUR = _SOURCE + ', "hour"'
 
 
-def _quantiles(name: str, source: str, by: str) -> str:
-    rank = lambda q: f"exp((min(case when upto >= floor({q} * (total - 1)) + 1 then bucket end) + 0.5) * {_WIDTH})"
-    return f"""{name}_c as (select {by}, bucket, sum(n) over (partition by {by} order by bucket rows unbounded preceding) upto, sum(n) over (partition by {by}) total from {source}),
-{name} as (select *, greatest(hi * 2.0 * pow(hi / mid, 0.28), mid * 5.5) upper, lo / 3.0 lower from
-  (select {by}, max(total) n, {rank(0.05)} lo, {rank(0.5)} mid, {rank(0.95)} hi from {name}_c group by {by}))"""
+def _p1_levels(name: str, by: str) -> str:
+    """Quartiles, and the fences three ranges or a factor ten beyond them; what is beyond, if a hundredth, has its own."""
+    return f"""{name}_q as (select {by}, count(*) n, (quantile_cont(b, 0.25) + 0.5) * {_WIDTH} q1, (quantile_cont(b, 0.75) + 0.5) * {_WIDTH} q3 from k group by all),
+{name}_b as (select {by}, count(*) above, (quantile_cont(b, 0.25) + 0.5) * {_WIDTH} b1, (quantile_cont(b, 0.75) + 0.5) * {_WIDTH} b3 from k join {name}_q using ({by}) where (b + 0.5) * {_WIDTH} > q3 + (q3 - q1) * 3 group by all),
+{name}_l as (select {by}, count(*) below from k join {name}_q using ({by}) where (b + 0.5) * {_WIDTH} < q1 - (q3 - q1) * 3 group by all),
+{name} as (select {by}, n, exp(q1) "floor", case when above >= greatest(n * 0.01, 8) then b3 + greatest((b3 - b1) * 3, ln(10)) else q3 + greatest((q3 - q1) * 3, ln(10)) end upper,
+   case when below >= greatest(n * 0.01, 8) then null else q1 - greatest((q3 - q1) * 3, ln(10)) end lower from {name}_q left join {name}_b using ({by}) left join {name}_l using ({by}))"""
+
+
+def _p1_steps(name: str, by: str) -> str:
+    return f"""{name} as (select *, q3 + (q3 - q1) * 6 fence, (q3 - q1) / 32 still from
+   (select {by}, count(*) n, exp((quantile_cont(b, 0.25) + 0.5) * {_WIDTH}) q1, exp((quantile_cont(b, 0.75) + 0.5) * {_WIDTH}) q3 from kk group by all))"""
+
+
+def _p1_spike(x: str) -> str:
+    return f"({x} > 0 and (coalesce(ln(greatest({x}, \"floor\")) - base > greatest(coalesce(fence, 0), ln(3)), false) or coalesce(ln({x}) > upper, false)))"
+
+
+def _p1_drop(x: str) -> str:
+    return f"(field <> 1 and {x} > 0 and (coalesce(top - ln({x}) > greatest(coalesce(fence, 0), ln(3)) and {x} < \"floor\", false) or coalesce(ln({x}) < lower, false)))"
+
+
+def _p1_alike(a: str, b: str) -> str:
+    return f"coalesce({a} = {b} or case when {a} > 0 and {b} > 0 then abs(ln({a}) - ln({b})) <= coalesce(still, 0) else false end, false)"
 
 
 _P1 = f"""
 with r as (select row_id, job_id, layer, round(t * 1000)::bigint ms, floor(round(t * 1000) / 3600000)::bigint "hour", residual_motion_max v0, max_ball_speed v1, camera_motion_magnitude v2 from frame_features),
-l as (select * from (select *, 0 field, v0 "value" from r union all select *, 1, v1 from r union all select *, 2, v2 from r) where "value" is not null),
-k as (select job_id, layer, "hour", field, floor(ln("value") / {_WIDTH})::int bucket, count(*) n from l where "value" > 0 and "value" < 'infinity'::double group by all),
-km as (select job_id, layer, field, bucket, sum(n) n from k group by all),
-{_quantiles("own", "k", 'job_id, layer, "hour", field')}, {_quantiles("al", "km", "job_id, layer, field")},
-f as (select al.job_id, al.layer, h."hour", al.field, al.mid, greatest(al.upper, least(case when own.n >= 200 then own.upper else al.upper end, al.upper * 2)) upper,
-   least(al.lower, greatest(case when own.n >= 200 then own.lower else al.lower end, al.lower / 2)) lower
-   from al join (select distinct job_id, layer, "hour" from k) h on h.job_id = al.job_id and h.layer = al.layer
-   left join own on own.job_id = al.job_id and own.layer = al.layer and own."hour" = h."hour" and own.field = al.field),
-j as (select l.*, upper, lower, mid, case when isnan("value") or "value" < 0 or isinf("value") then 'impossible' when "value" > upper then 'spike' when field <> 1 and "value" < lower then 'dropout' else '' end reason
-   from l left join f using (job_id, layer, "hour", field)),
-w as (select *, lag("value") over o b, lead("value") over o a, ms is distinct from lag(ms) over o fresh from j window o as (partition by job_id, layer, "hour", field, reason order by ms, row_id)),
-x as (select *, case when reason = '' and "value" > upper / 1.35 and "value" * mid * 2 > upper * greatest(b, a) then 'spike' else reason end why,
-   sum(case when b = "value" then 0 else 1 end) over o run, sum(case when abs(b - "value") <= "value" * 0.003 then 0 else 1 end) over o near from w
-   window o as (partition by job_id, layer, "hour", field, reason order by ms, row_id rows unbounded preceding)),
-g as (select job_id, layer, "hour", field, near, run, min("value") v, sum(fresh::int) n, bool_or(b is null) opens, bool_or(a is null) closes from x
-   where why = '' and (abs(b - "value") <= "value" * 0.003 or abs(a - "value") <= "value" * 0.003 or b is null or a is null) group by all),
-p as (select *, n >= 0.8 * sum(n) over (partition by job_id, layer, "hour", field, near) pure from g),
-e as (select *, case when opens and lag(closes) over o and lag(v) over o = v then 0 else 1 end first from p where opens or closes window o as (partition by job_id, layer, field order by "hour", run)),
-c as (select *, sum(first) over (partition by job_id, layer, field order by "hour", run rows unbounded preceding) chain from e),
-t as (select *, case when bool_and(pure) over q then sum(n) over q else 0 end total from c window q as (partition by job_id, layer, field, chain)),
-s as (select job_id, layer, "hour", field, run from t where total >= 9 and not (field = 1 and v = 0) and "hour" is not null
-   union all select job_id, layer, "hour", field, run from p where not (opens or closes) and pure and n >= 9 and not (field = 1 and v = 0)),
-o as (select row_id, field, why reason, "value" from x where why <> '' union all
-   select row_id, field, 'stuck', "value" from x join s using (job_id, layer, "hour", field, run) where why = '')
+l as (select * from (select row_id, job_id, layer, ms, "hour", 0 field, v0 v from r union all select row_id, job_id, layer, ms, "hour", 1, v1 from r union all select row_id, job_id, layer, ms, "hour", 2, v2 from r) where v is not null),
+ok as (select * from l where not isnan(v) and v >= 0 and v < 'infinity'::double),
+k as materialized (select job_id, layer, "hour", field, floor(ln(v) / {_WIDTH})::int b from ok where v > 0),
+{_p1_levels("whole", _SOURCE)},
+{_p1_levels("own", _HOUR)},
+hours as (select distinct job_id, layer, "hour" from k),
+lv as (select h.job_id, h.layer, h."hour", w.field, w."floor", case when o.n >= 200 and o.upper is not null then (w.upper + o.upper) / 2 else w.upper end upper, case when o.n >= 200 and o.lower is not null then (w.lower + o.lower) / 2 else w.lower end lower
+   from hours h join whole w on w.job_id = h.job_id and w.layer = h.layer left join own o on o.job_id = h.job_id and o.layer = h.layer and o."hour" = h."hour" and o.field = w.field),
+g as (select job_id, layer, field, ms, "hour", max(v) x, min(v) m from ok where ms is not null group by all),
+s as (select g.*, "floor", upper, lower, ln(greatest(x, "floor")) y, case when x > 0 then ln(x) end z from g left join lv using (job_id, layer, field, "hour")),
+a as (select *, case when ms - lag(ms) over o <= 30000 then lag(y) over o end p1, case when ms - lag(ms, 2) over o <= 30000 then lag(y, 2) over o end p2,
+   case when lead(ms) over o - ms <= 30000 then lead(y) over o end n1, case when lead(ms, 2) over o - ms <= 30000 then lead(y, 2) over o end n2,
+   case when ms - lag(ms) over o <= 30000 then lag(z) over o end pz1, case when ms - lag(ms, 2) over o <= 30000 then lag(z, 2) over o end pz2,
+   case when lead(ms) over o - ms <= 30000 then lead(z) over o end nz1, case when lead(ms, 2) over o - ms <= 30000 then lead(z, 2) over o end nz2
+   from s window o as (partition by job_id, layer, field order by ms)),
+ar as materialized (select *, greatest(least(p1, p2), least(n1, n2)) base, least(greatest(pz1, pz2), greatest(nz1, nz2)) top from a),
+kk as (select job_id, layer, "hour", field, floor(ln(greatest(abs(y - p1), 0.0001)) / {_WIDTH})::int b from ar where y > ln("floor") and p1 > ln("floor")),
+{_p1_steps("wst", _SOURCE)},
+{_p1_steps("ost", _HOUR)},
+st as (select h.job_id, h.layer, h."hour", w.field, case when o.n >= 200 then (w.fence + o.fence) / 2 else w.fence end fence, case when o.n >= 200 then (w.still + o.still) / 2 else w.still end still
+   from (select distinct job_id, layer, "hour" from kk) h join wst w on w.job_id = h.job_id and w.layer = h.layer left join ost o on o.job_id = h.job_id and o.layer = h.layer and o."hour" = h."hour" and o.field = w.field),
+j as (select ar.*, fence, still from ar left join st using (job_id, layer, field, "hour")),
+od as materialized (select *, {_p1_spike("x")} or {_p1_drop("m")} odd from j),
+c as (select *, case when {_p1_alike("x", "lag(x) over o")} then 0 else 1 end fresh from od where not odd and (field <> 1 or x > 0) window o as (partition by job_id, layer, field order by ms)),
+i as (select *, sum(fresh) over (partition by job_id, layer, field order by ms rows unbounded preceding) run from c),
+u as (select job_id, layer, field, ms, x c, count(*) over (partition by job_id, layer, field, run) len from i),
+e as (select l.row_id, l.field, l.v, od.base, od.top, od.fence, od.still, lv."floor", lv.upper, lv.lower, u.c, u.len from l left join od on od.job_id = l.job_id and od.layer = l.layer and od.field = l.field and od.ms = l.ms
+   left join lv on lv.job_id = l.job_id and lv.layer = l.layer and lv.field = l.field and lv."hour" = l."hour"
+   left join u on u.job_id = l.job_id and u.layer = l.layer and u.field = l.field and u.ms = l.ms),
+o as (select row_id, field, v "value", case when isnan(v) or v < 0 or isinf(v) then 'impossible' when {_p1_spike("v")} then 'spike' when {_p1_drop("v")} then 'dropout' when len >= 7 and {_p1_alike("v", "c")} then 'stuck' else '' end reason from e)
 select row_id, ['residual_motion_max', 'max_ball_speed', 'camera_motion_magnitude'][field + 1] field_name"""
 
 _TEXT = """coalesce(case json_type(v) when 'OBJECT' then coalesce(json_extract_string(v, '$.value'), json_extract_string(v, '$.v'), v::varchar)
@@ -192,8 +219,8 @@ _P4_TABLE = (
 )
 
 SQL = {
-    "p1_found": _P1 + " from o",
-    "p1_flags": _P1 + ', reason, "value" from o',
+    "p1_found": _P1 + " from o where reason <> ''",
+    "p1_flags": _P1 + ", reason, \"value\" from o where reason <> ''",
     "p4_found": _P4,
     "p4_table": _P4_TABLE,
     "p2_found": _P2,

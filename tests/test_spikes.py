@@ -1,7 +1,7 @@
 import math
 import random
 
-from chalkline.operators.spikes import Fences, Reading, flag_readings, quantiles, sketch
+from chalkline.operators.spikes import Fences, Reading, flag_readings, quartiles, sketch
 
 FIELDS = [Reading("a"), Reading("b", zero_is_normal=True)]
 SCHEMA = "id bigint, job bigint, layer string, t double, a double, b double"
@@ -69,6 +69,42 @@ def test_sketches_merge_exactly(spark):
     values = sorted(rnd.lognormvariate(0, 2) for _ in range(5000))
     df = spark.createDataFrame([(1, v) for v in values], "k int, v double").repartition(7)
     acc = Fences().accuracy
-    row = quantiles(sketch(df, ["k"], "v", acc), ["k"], {"q": 0.5, "r": 0.95}, acc).first()
-    assert row.n == 5000
-    assert abs(row.q / values[2499] - 1) <= 0.03 and abs(row.r / values[int(0.95 * 4999)] - 1) <= 0.03
+    row = quartiles(sketch(df, ["k"], "v", acc), ["k"], acc).first()
+    assert abs(math.exp(row.q1) / values[1249] - 1) <= 0.03 and abs(math.exp(row.q3) / values[3749] - 1) <= 0.03
+
+
+def test_spikes_in_a_still_stretch_below_the_level_of_activity(spark):
+    rnd = random.Random(5)
+    # A fifth of the readings is activity at ten times the still level, in stretches of 40.
+    rows = [[i, 1, "x", i * 0.5, rnd.uniform(0.9, 1.2) * (10 if 100 <= i % 200 < 140 else 1), 0.0] for i in range(8000)]
+    rows[50][4] = 8.0  # one reading at the level of activity
+    rows[250][4], rows[251][4] = 9.0, 8.5  # two
+    rows[7199][4] = 9.5  # the last of its hour; its neighbour lies in the next
+    rows[330][4] = 0.1  # falls out of activity, and below everything
+    assert flags(spark, rows) == {(50, "a"): "spike", (250, "a"): "spike", (251, "a"): "spike", (7199, "a"): "spike", (330, "a"): "dropout"}
+
+
+def test_neighbours_too_far_off_say_nothing_and_one_side_suffices(spark):
+    rows = series(800)
+    rows[799][4] = 7.0  # the last one: only the readings before it are there
+    rows += [[9000, 1, "coarse", 5000.0, 7.0, 0.0]]  # alone: within the fences of the levels
+    assert set(flags(spark, rows)) == {(799, "a")}
+
+
+def test_a_stretch_that_wavers_in_the_last_digits_is_stuck(spark):
+    rows = series(2000)
+    for i in range(500, 520):
+        rows[i][4] = 1.1 * (1 + (i % 3 - 1) * 0.0005)
+    rows.append([7777, 1, "coarse", rows[510][3], rows[510][4], None])  # sent twice
+    rows.append([7778, 1, "coarse", rows[511][3], 30.0, None])  # another reading of the same time
+    got = flags(spark, rows)
+    assert {i for (i, f), why in got.items() if why == "stuck"} == set(range(500, 520)) - {511} | {7777}
+    assert got[7778, "a"] == "spike"
+
+
+def test_extra_columns_and_a_constant_source(spark):
+    rows = [(i, 1, i * 1.0, 5.0, "x", 1.0) for i in range(30)] + [(100 + i, 2, i * 1.0, 0.0, "x", 1.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "id bigint, job bigint, t double, a double, hour string, src double")
+    got = flag_readings(df, ["job"], "t", "id", [Reading("a")]).collect()
+    assert {(r.row_id, r.reason) for r in got} == {(i, "stuck") for i in [*range(30), *range(100, 130)]}
+    assert flag_readings(df, ["job"], "t", "id", [Reading("a", zero_is_normal=True)]).count() == 30
