@@ -182,9 +182,13 @@ class Items:
         self.words = begins[sizes > 0].astype(np.int64)
         ends = np.append(self.starts, len(self.codes))[np.searchsorted(self.starts, self.words, side="right")]
         self.search = WuManber(self.codes, self.words[self.words + MATCH <= ends])
+        #: Item and word of each place at which a string of the search begins.
+        self.place_item = np.searchsorted(self.starts, self.search.occurrences, side="right") - 1
+        self.place_word = np.searchsorted(self.words, self.search.occurrences)
         self.bytes = self.codes.tobytes()
         self.bounds = np.append(self.words, len(self.codes))
         self.starts = np.asarray(self.starts)
+        self.ends = np.append(self.starts[1:], len(self.codes))
         spelled = [self.bytes[a:b] for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist())]
         owner = np.searchsorted(self.starts, self.words, side="right") - 1
         holders: dict[bytes, set[int]] = {}
@@ -253,10 +257,10 @@ def find_leaks(items: Items, texts: Sequence[str], min_words: int = 25, error_sh
 
 
 def _expand(search: WuManber, place: np.ndarray, string: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each find with each of its string's places among the items."""
+    """Each find with the number of each of its string's places among the items."""
     many = search.offsets[string + 1] - search.offsets[string]
     nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    return np.repeat(place, many), search.occurrences[np.repeat(search.offsets[string], many) + nth]
+    return np.repeat(place, many), np.repeat(search.offsets[string], many) + nth
 
 
 def _passages(items, codes, starts, place, string, min_words, error_share):
@@ -268,11 +272,8 @@ def _passages(items, codes, starts, place, string, min_words, error_share):
     doc = np.searchsorted(starts, place, side="right") - 1
     within = place + MATCH <= starts[doc + 1]
     place, string, doc = place[within], string[within], doc[within]
-    text = None
     for part in _whole_texts(doc, items.search.offsets[string + 1] - items.search.offsets[string]):
-        for d, i, there, diagonal in _candidates(items, doc[part], place[part], string[part], min_words, error_share):
-            if text is None:
-                text = codes.tobytes()
+        for d, i, there, diagonal, text in _candidates(items, codes, starts, doc[part], place[part], string[part], min_words, error_share):
             order = np.lexsort((there, diagonal))
             length = _longest(items, text, int(starts[d]), int(starts[d + 1]), i, there[order], diagonal[order], min_words, error_share)
             if length:
@@ -290,21 +291,21 @@ def _whole_texts(doc: np.ndarray, many: np.ndarray) -> Iterator[slice]:
         a = b
 
 
-def _candidates(items, doc, place, string, min_words, error_share):
-    """(text, item, places in the item, diagonals) of each chain with the finds that a passage keeps at least."""
+def _candidates(items, codes, starts, doc, place, string, min_words, error_share):
+    """(text, item, places in the item, diagonals, all texts) of each chain with the finds that a passage keeps at least."""
     many = items.search.offsets[string + 1] - items.search.offsets[string]
-    here, there = _expand(items.search, place, string)
-    doc = np.repeat(doc, many)
-    item = np.searchsorted(items.starts, there, side="right") - 1
+    here, nth = _expand(items.search, place, string)
+    doc, item, word = np.repeat(doc, many), items.place_item[nth], items.place_word[nth]
+    there = items.search.occurrences[nth]
     diagonal = here - there
     order = np.lexsort((diagonal, doc * len(items.starts) + item))
-    doc, item, there, diagonal = (x[order] for x in (doc, item, there, diagonal))
+    doc, item, there, diagonal, word = (x[order] for x in (doc, item, there, diagonal, word))
     fresh = np.ones(len(doc), bool)
     fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > DRIFT)
     begin = np.flatnonzero(fresh)
     finish = np.append(begin[1:], len(doc))
     total = len(items.words) + 2 * min_words
-    at = np.sort((np.cumsum(fresh) - 1) * total + np.searchsorted(items.words, there))
+    at = np.sort((np.cumsum(fresh) - 1) * total + word)
     at = at[np.diff(at, prepend=-1) > 0]
     chain, word = at // total, at % total
     alone = np.ones(len(at), bool)
@@ -313,8 +314,77 @@ def _candidates(items, doc, place, string, min_words, error_share):
     for n, exact, around in items.least(min_words, error_share):
         finds = np.searchsorted(at, at + n) - np.arange(len(at))
         good[chain[finds >= np.where(alone, around[word], exact[word])]] = True
-    for a, b in zip(begin[good].tolist(), finish[good].tolist()):
-        yield int(doc[a]), int(item[a]), there[a:b], diagonal[a:b]
+    begin, finish = begin[good], finish[good]
+    room, single, low, high = _room(items, codes, starts, doc[begin], item[begin], there, diagonal, begin, finish)
+    wide = np.flatnonzero(room >= min_words)
+    if not len(wide):
+        return
+    begin, finish, single, low, high = begin[wide], finish[wide], single[wide].tolist(), low[wide].tolist(), high[wide].tolist()
+    docs, owners, shifts = doc[begin].tolist(), item[begin].tolist(), diagonal[begin].tolist()
+    from_, upto = starts[doc[begin]].tolist(), starts[doc[begin] + 1].tolist()
+    text, needed = codes.tobytes(), min_words - min_words // error_share
+    for k, (a, b) in enumerate(zip(begin.tolist(), finish.tolist())):
+        if single[k] and _too_few(items, text, from_[k], upto[k], owners[k], low[k], high[k], shifts[k], needed):
+            continue
+        yield docs[k], owners[k], there[a:b], diagonal[a:b], text
+
+
+def _room(items, codes, starts, doc, item, there, diagonal, begin, finish):
+    """Words that a passage of each chain can have at most, whether its finds make one equal stretch, and that stretch.
+
+    Most chains are such: a formula that the item shares with many texts, and nothing else beside it.
+    """
+    first, last = there[begin], np.maximum.reduceat(np.append(there, 0), np.stack([begin, finish], 1).ravel())[::2] if len(begin) else there[begin]
+    shift = diagonal[begin]
+    upper = np.minimum(items.ends[item], starts[doc + 1] - shift)
+    lower = np.maximum(items.starts[item], starts[doc] - shift)
+    b, a = first + MATCH, first.copy()
+    live = np.flatnonzero(b < upper)
+    while len(live):
+        live = live[items.codes[b[live]] == codes[b[live] + shift[live]]]
+        b[live] += 1
+        live = live[b[live] < upper[live]]
+    live = np.flatnonzero(a > lower)
+    while len(live):
+        live = live[items.codes[a[live] - 1] == codes[a[live] - 1 + shift[live]]]
+        a[live] -= 1
+        live = live[a[live] > lower[live]]
+    begins, ends = np.searchsorted(items.words, items.starts[item]), np.searchsorted(items.words, items.ends[item])
+    left = np.maximum(np.searchsorted(items.bounds, a, side="right") - 1 - EDGE, begins)
+    right = np.minimum(np.searchsorted(items.bounds, b, side="left") + EDGE, ends)
+    single = (diagonal[finish - 1] == shift) & (last + MATCH <= b)
+    return np.where(single, right - left, ends - begins), single, a, b
+
+
+def _too_few(items, text, lo, hi, i, a, b, g, needed):
+    """Whether the words of one equal stretch and those found next to it (as `_fill_gaps` does) stay under `needed`."""
+    first, last, bounds = items.word_bounds(i)
+    begin, end = bisect_left(bounds, a), bisect_right(bounds, b) - 1
+    right = bisect_left(bounds, b)
+    left = bisect_right(bounds, a) - 1
+    after, before = range(right, min(last - first, right + EDGE)), range(min(left, begin - 1), max(left - EDGE, -1), -1)
+    spare = end - begin + len(after) + len(before) - needed
+    at, until = b + g, min(hi, b + g + 60)
+    for w in after:
+        word = items.bytes[bounds[w] : bounds[w + 1]]
+        near = text.find(word, at, min(until, at + 24 + len(word)))
+        if near >= 0 and (len(word) > 2 or near == at):
+            at = near + len(word)
+        else:
+            spare -= 1
+            if spare < 0:
+                return True
+    at = a + g
+    for w in before:
+        word = items.bytes[bounds[w] : bounds[w + 1]]
+        near = text.rfind(word, max(lo, at - 24 - len(word)), at)
+        if near >= 0 and (len(word) > 2 or near + len(word) == at):
+            at = near
+        else:
+            spare -= 1
+            if spare < 0:
+                return True
+    return spare < 0
 
 
 def _segments(items, text, lo, hi, i, there, diagonal):
@@ -417,6 +487,14 @@ def _admissible(known, rare, min_words, error_share):
     return int(size[fine].max()) if fine.any() else 0
 
 
+def _items_of(shared) -> Items:
+    """The items of a broadcast, prepared once by each worker, whatever the number of its tasks."""
+    known = getattr(shared, "prepared", None)
+    if known is None:
+        known = shared.prepared = Items(*shared.value)
+    return known
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = 25, error_share: int = 8, max_item_bytes: int = 64_000_000) -> DataFrame:
     """Documents that hold passages of test items: `doc_id`, `item_id`, `n_words` (of the longest passage).
 
@@ -442,7 +520,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, min_words: int = 25, er
         shared = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Items(*shared.value)
+            known = _items_of(shared)
             kind = pa.array(shared.value[0], item_kind).type
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
