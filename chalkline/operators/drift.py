@@ -105,7 +105,7 @@ def file_pairs(stats: DataFrame) -> DataFrame:
     )
 
 
-def schema_changes(lines: DataFrame, c: FileColumns = FileColumns()) -> DataFrame:
+def schema_changes(lines: DataFrame, c: FileColumns = FileColumns(), values: DataFrame | None = None) -> DataFrame:
     """Changes of top-level fields from a file to its group's next: `file_id`, `change_kind`, `field_name`, `new_name`.
 
     change_kind: added, removed, retyped, renamed (`new_name`, else ''). Files of a group follow each other by time,
@@ -114,10 +114,11 @@ def schema_changes(lines: DataFrame, c: FileColumns = FileColumns()) -> DataFram
     values in every record that both files hold with a value; of several such pairs each name is used once, most
     records first, then by name. A field with only nulls in a file keeps its earlier type. Empty in, empty out.
 
-    Lines are reduced to one row per file and path before anything is compared; files are paired through monthly
-    shards of their group; only values of fields that come or go are compared, record by record.
+    Lines are parsed once, into path-values in the shared folder (`values`, if they are there already), and reduced to one
+    row per file and path before anything is compared; files are paired through monthly shards of their group; only
+    values of fields that come or go are compared, record by record.
     """
-    values = path_values(lines, c).where("file is not null")
+    values = (values or cut(path_values(lines, c), "path-values")).where("file is not null")
     stats = cut(file_stats(values), "file-stats")
     pairs = file_pairs(stats)
     typed = stats.select(F.col("file").alias("at"), "path", "type")
@@ -213,7 +214,7 @@ def _field(doc: Column, name: str) -> Column:
     return F.try_variant_get(doc, "$", "map<string,variant>")[F.lit(name)]
 
 
-def first_names(lines: DataFrame, c: FileColumns = FileColumns()) -> DataFrame:
+def first_names(lines: DataFrame, c: FileColumns = FileColumns(), values: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
     """`file`, `path`, `first`: the name that each file's field had in the first file of its group that holds it.
 
     Fields are followed from file to file under their name or through a rename; one that comes back after a file without
@@ -221,11 +222,12 @@ def first_names(lines: DataFrame, c: FileColumns = FileColumns()) -> DataFrame:
     all keep their own. Pointers to the file before are doubled until
     each meets the first file.
     """
-    stats = cut(file_stats(path_values(lines, c).where("file is not null")), "file-stats")
+    values = values or cut(path_values(lines, c), "path-values")
+    stats = cut(file_stats(values.where("file is not null")), "file-stats")
     pairs = file_pairs(stats)
     here = stats.select("file", "path")
     before = stats.select(F.col("file").alias("prior"), "path")
-    renames = schema_changes(lines, c).where("change_kind = 'renamed'").select(F.col("file_id").alias("file"), F.col("new_name").alias("path"), F.col("field_name").alias("old"))
+    renames = (changes or schema_changes(lines, c, values)).where("change_kind = 'renamed'").select(F.col("file_id").alias("file"), F.col("new_name").alias("path"), F.col("field_name").alias("old"))
     links = (
         here.join(pairs, "file").join(before, ["prior", "path"]).select("file", "path", F.col("prior").alias("to"), F.col("path").alias("old"))
         .unionByName(renames.join(pairs, "file").select("file", "path", F.col("prior").alias("to"), "old"))
@@ -246,14 +248,17 @@ def whole_table(lines: DataFrame, c: FileColumns = FileColumns()) -> DataFrame:
 
     Lines without a file have no history: their fields go by name.
     """
-    firsts = cut(first_names(lines, c), "first-names")
-    columns = field_columns(lines, firsts, c)
+    values = cut(path_values(lines, c), "path-values")
+    changes = cut(schema_changes(lines, c, values), "changes")
+    firsts = cut(first_names(lines, c, values, changes), "first-names")
+    columns = field_columns(lines, firsts, c, values=values, changes=changes)
     names = firsts.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("first", "path"))).alias("_names"))
     return consistent_table(lines.join(names, F.col(f"`{c.file}`") == F.col("file"), "left").drop("file"), columns, c, lists=True, names="_names")
 
 
 def field_columns(
-    lines: DataFrame, firsts: DataFrame, c: FileColumns = FileColumns(), taken: Sequence[str] = ("file_id", "job_id", "record_key", "failed")
+    lines: DataFrame, firsts: DataFrame, c: FileColumns = FileColumns(), taken: Sequence[str] = ("file_id", "job_id", "record_key", "failed"),
+    values: DataFrame | None = None, changes: DataFrame | None = None,
 ) -> dict[str, tuple[str, list[str]]]:
     """Columns for `consistent_table` that hold every top-level path of the lines: type and first names, commonest first.
 
@@ -264,7 +269,7 @@ def field_columns(
 
     The driver sees one row per name, per pair of names in a file and per rename.
     """
-    values = path_values(lines, c).join(firsts, ["file", "path"], "left").withColumn("path", F.coalesce("first", "path"))
+    values = (values or path_values(lines, c)).join(firsts, ["file", "path"], "left").withColumn("path", F.coalesce("first", "path"))
     inner = F.coalesce(*[F.try_variant_get(F.coalesce(_element(F.col("value")), F.col("value")), p, "variant") for p in ("$.value", "$.v", "$")])
     seen = values.select("path", inner.alias("inner"), (F.col("type") == "array").alias("listed"), F.isnotnull(F.try_variant_get("value", "$[1]", "variant")).alias("several"))
     seen = seen.select("path", "listed", "several", raw_type(F.schema_of_variant("inner")).alias("kind"), F.trim(F.try_variant_get("inner", "$", "string")).alias("text"))
@@ -281,7 +286,7 @@ def field_columns(
     files = firsts.select("file", F.col("first").alias("path"))
     other = files.select("file", F.col("path").alias("other"))
     together = {(r[0], r[1]) for r in files.join(other, "file").where("path < other").select("path", "other").distinct().collect()}
-    renames = schema_changes(lines, c).where("change_kind = 'renamed'")
+    renames = (changes or schema_changes(lines, c)).where("change_kind = 'renamed'")
     old, new = F.col("field_name"), F.col("new_name")
     links = renames.groupBy(F.least(old, new).alias("a"), F.greatest(old, new).alias("b")).count().collect()
     group = {name: {name} for name in counts}

@@ -44,20 +44,21 @@ def _grid(cells: DataFrame, times: DataFrame, keys: Sequence[str], n: int, pause
         "shard",
         F.greatest(shard_of("sitting_start", 1000), F.col("shard") * width).alias("a"),
         F.least(shard_of("sitting_end", 1000), F.col("shard") * width + width - 1).alias("b"),
+        shard_of("sitting_start", 1000).alias("begin"),
     )
     seconds = spans.select(
-        *keys, "shard", "a", "b", F.explode(F.sequence(F.col("a") - REACH, F.col("b") + REACH)).alias("slot"),
+        *keys, "shard", "a", "b", "begin", F.explode(F.sequence(F.col("a") - REACH, F.col("b") + REACH)).alias("slot"),
         *[F.lit(None).cast("double").alias(f"x{i}") for i in range(n)],
-    ).select(*keys, "shard", "slot", (~F.col("slot").between(F.col("a"), F.col("b"))).alias("halo"), *[f"x{i}" for i in range(n)])
+    ).select(*keys, "shard", "slot", (~F.col("slot").between(F.col("a"), F.col("b"))).alias("halo"), (F.col("slot") - F.col("begin")).alias("off"), *[f"x{i}" for i in range(n)])
     # A cell belongs to its shard and, near an edge, also to the neighbour that sees it as halo.
     home = shard_of("slot", width)
     shards = F.array_distinct(F.array(home, shard_of(F.col("slot") - REACH, width), shard_of(F.col("slot") + REACH, width)))
-    known = cells.select(*keys, F.explode(shards).alias("shard"), "slot", F.lit(None).cast("boolean").alias("halo"), *[f"x{i}" for i in range(n)])
+    known = cells.select(*keys, F.explode(shards).alias("shard"), "slot", F.lit(None).cast("boolean").alias("halo"), F.lit(None).cast("bigint").alias("off"), *[f"x{i}" for i in range(n)])
     both = seconds.unionByName(known).repartition(*keys, "shard")
     # One exchange serves this aggregation and the window of the next step; cells outside the grid have no halo mark.
     return (
         both.groupBy(*keys, "shard", "slot")
-        .agg(F.max("halo").alias("halo"), *[F.max(f"x{i}").alias(f"x{i}") for i in range(n)])
+        .agg(F.max("halo").alias("halo"), F.max("off").alias("off"), *[F.max(f"x{i}").alias(f"x{i}") for i in range(n)])
         .where("halo is not null")
     )
 
@@ -73,27 +74,79 @@ def _neighbours(grid: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     return grid.withColumns(out).where(~F.col("halo")).drop("halo", "shard", *[f"z{i}" for i in range(n)])
 
 
-def _factor(ys: Sequence[str], loadings: np.ndarray, ridge: float) -> tuple[Column, Column]:
-    """A second's factors: least squares of its known values against the loadings (rank 2 in closed form)."""
-    zero = F.lit(0.0)
+def _total(terms: Sequence[Column]) -> Column:
+    out = F.lit(0.0)
+    for term in terms:
+        out = out + term
+    return out
 
-    def total(terms: list[Column]) -> Column:
-        out = zero
-        for term in terms:
-            out = out + term
-        return out
 
-    known = [F.col(y).isNotNull() for y in ys]
-    p, q = loadings[:, 0], loadings[:, 1]
-    a = total([F.when(k, F.lit(float(v * v))).otherwise(zero) for k, v in zip(known, p)]) + ridge
-    b = total([F.when(k, F.lit(float(v * w))).otherwise(zero) for k, v, w in zip(known, p, q)])
-    d = total([F.when(k, F.lit(float(w * w))).otherwise(zero) for k, w in zip(known, q)]) + ridge
-    e = total([F.coalesce(F.col(y) * float(v), zero) for y, v in zip(ys, p)])
-    g = total([F.coalesce(F.col(y) * float(w), zero) for y, w in zip(ys, q)])
+def _solved(a: Column, b: Column, d: Column, e: Column, g: Column, ridge: float) -> tuple[Column, Column]:
+    """Least squares of rank 2 in closed form, from the sums of the normal equations."""
+    a, d = a + ridge, d + ridge
     det = a * d - b * b
     return (d * e - b * g) / det, (a * g - b * e) / det
 
 
+def _factor(ys: Sequence[str], loadings: np.ndarray, ridge: float) -> tuple[Column, Column]:
+    """A second's factors: least squares of its known values against the loadings."""
+    zero = F.lit(0.0)
+    known = [F.col(y).isNotNull() for y in ys]
+    p, q = loadings[:, 0], loadings[:, 1]
+    return _solved(
+        _total([F.when(k, F.lit(float(v * v))).otherwise(zero) for k, v in zip(known, p)]),
+        _total([F.when(k, F.lit(float(v * w))).otherwise(zero) for k, v, w in zip(known, p, q)]),
+        _total([F.when(k, F.lit(float(w * w))).otherwise(zero) for k, w in zip(known, q)]),
+        _total([F.coalesce(F.col(y) * float(v), zero) for y, v in zip(ys, p)]),
+        _total([F.coalesce(F.col(y) * float(w), zero) for y, w in zip(ys, q)]),
+        ridge,
+    )
+
+
+SUMS = ("aa", "ab", "bb", "ay", "by")
+
+
+def _normal(a: Column, b: Column, y: Column) -> dict[str, Column]:
+    """What a known value adds to the normal equations of the other side's factors; null where it is not known."""
+    known = y.isNotNull()
+    return {"aa": F.when(known, a * a), "ab": F.when(known, a * b), "bb": F.when(known, b * b), "ay": a * y, "by": b * y}
+
+
+def sources_by_time(cells: DataFrame, keys: Sequence[str], fields: int, ridge: float, most: int = 5, enough: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """Factors of the matrix with a row for each source (entity and field) and a column for each second of a sitting.
+
+    Alternating least squares of rank 2 over the known cells `z0`, `z1`, ... of `cells` (keys, `off`). Returns the rows'
+    factors (keys, `p_i`, `q_i`, known cells `c_i`) and the columns' (`off`, `p`, `q`, the sums they come from, known
+    cells `c`). Every half pass is an aggregation with map-side combine that leaves one row per source or per second;
+    passes end when the rows' factors move by less than `enough` (relative), after `most` at the latest.
+    """
+    counted = cells.groupBy(*keys).agg(*[F.count(f"z{i}").alias(f"c_{i}") for i in range(fields)])
+    # Any start will do that is the same in every run: the second factor differs by source.
+    start = {f"p_{i}": F.lit(1.0) for i in range(fields)} | {f"q_{i}": F.pmod(F.xxhash64(*keys, F.lit(i)), F.lit(1000)) / 1000.0 - 0.5 for i in range(fields)}
+    rows = cut(counted.withColumns(start), "grid-rows")
+    for _ in range(most):
+        seen = join_by(cells, rows, keys)
+        each = [_normal(F.col(f"p_{i}"), F.col(f"q_{i}"), F.col(f"z{i}")) for i in range(fields)]
+        sums = [F.sum(_total([F.coalesce(e[name], F.lit(0.0)) for e in each])).alias(name) for name in SUMS]
+        columns = seen.groupBy("off").agg(*sums, F.sum(_total([F.col(f"z{i}").isNotNull().cast("int") for i in range(fields)])).alias("c"))
+        p, q = _solved(*[F.col(name) for name in SUMS], ridge)
+        columns = cut(columns.withColumns({"p": p, "q": q}), "grid-columns")
+        seen = cells.join(columns.select("off", "p", "q"), "off")
+        sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(f"{name}_{i}") for i in range(fields) for name, c in _normal(F.col("p"), F.col("q"), F.col(f"z{i}")).items()]
+        solved = seen.groupBy(*keys).agg(*sums, *[F.count(f"z{i}").alias(f"c_{i}") for i in range(fields)])
+        new = {}
+        for i in range(fields):
+            new[f"p_{i}"], new[f"q_{i}"] = _solved(*[F.col(f"{name}_{i}") for name in SUMS], ridge)
+        after = cut(solved.withColumns(new).drop(*[f"{name}_{i}" for i in range(fields) for name in SUMS]), "grid-rows")
+        factors = [f"{f}_{i}" for i in range(fields) for f in "pq"]
+        both = join_by(after, rows.select(*keys, *[F.col(c).alias(f"old_{c}") for c in factors]), keys)
+        moved = both.agg(F.sum(_total([(F.col(c) - F.col(f"old_{c}")) ** 2 for c in factors])).alias("moved"), F.sum(_total([F.col(c) ** 2 for c in factors])).alias("size")).first()
+        rows = after
+        if not moved["size"] or moved["moved"] <= enough**2 * moved["size"]:
+            break
+    return rows, columns
+
+
 def _loadings(wide: DataFrame, ys: Sequence[str], iterations: int, ridge: float) -> np.ndarray:
     """Alternating least squares. Each pass sends the driver one row of 5 sums per matrix row, whatever the size."""
     m, half = len(ys), len(ys) // 2
@@ -127,15 +180,18 @@ def complete_grid(
 ) -> DataFrame:
     """One value per entity, field and second of a sitting: entity, `field_name`, `slot`, `value`, `status`.
 
-    status: observed (the mean of the second's usable readings, untouched), filled, or unsupported (value null: fewer
-    than RANK known values within REACH seconds in any field). A second runs from floor(t); a sitting ends where the
+    status: observed (the mean of the second's usable readings, untouched), filled, or unsupported (value null: neither
+    factorisation has RANK known values for it). A second runs from floor(t); a sitting ends where the
     entity's readings, usable or not, pause for `pause_s` or more. Readings with a null or infinite `t` are left out;
     repeated rows weigh in the mean; a null entity is an entity of its own; other columns are ignored.
 
-    The matrix has the seconds as columns and, as rows, each field's value at the second and at the REACH seconds
-    before and after it, on the scale log(1 + x / the entity's mean). Its rank-2 factorisation by alternating least
-    squares shares the rows' loadings among all entities: a pass is one scan that solves each second's factors in
-    place and sums the loadings' normal equations. Works for two or more fields.
+    Two factorisations of rank 2 by alternating least squares, on the scale log(1 + x / the entity's mean) around the
+    field's mean. One has the sources (entity and field) as rows and the seconds of a sitting as columns
+    (`sources_by_time`): it fills a second of which other sources have RANK values, however far the source's own readings
+    are. The other tells what a second owes to those around it: its rows are each field's value at the second and at the
+    REACH seconds before and after, its columns all seconds; it is used where RANK of these are known. What either says
+    is scaled, for each field, by how well it foretells the known values when they are left out. Works for two or more
+    fields. The driver sees one row of sums a pass.
     """
     keys = [f"_k{i}" for i in range(len(entity))]
     n = len(fields)
@@ -154,15 +210,31 @@ def complete_grid(
     wide = wide.withColumns({y: F.col(y) - centre[k // per] for k, y in enumerate(ys)})
     loadings = _loadings(wide, ys, iterations, ridge)
     u, v = _factor(ys, loadings, ridge)
-    support = F.lit(0)
-    for y in ys:
-        support = support + F.col(y).isNotNull().cast("int")
+    support = _total([F.col(y).isNotNull().cast("int") for y in ys]).cast("int")
+    centres = [i * per + REACH for i in range(n)]
+    cells = wide.select(*keys, "off", *[F.col(ys[c]).alias(f"z{i}") for i, c in enumerate(centres)]).where(F.coalesce(*[F.col(ys[c]) for c in centres]).isNotNull())
+    by_source, by_time = sources_by_time(cells, keys, n, ridge)
+    whole = join_by(wide, by_source, keys).join(by_time, "off", "left")
+    # Left out: a known value's own part is taken from the sums before they are solved.
+    tests = []
+    for i, c in enumerate(centres):
+        z, p, q = F.col(ys[c]), F.col(f"p_{i}"), F.col(f"q_{i}")
+        own = _normal(p, q, z)
+        tp, tq = _solved(*[F.col(name) - own[name] for name in SUMS], ridge)
+        near = _factor([y for y in ys if y != ys[c]], np.delete(loadings, c, axis=0), ridge)
+        for name, guess in ((f"t{i}", p * tp + q * tq), (f"n{i}", near[0] * float(loadings[c, 0]) + near[1] * float(loadings[c, 1]))):
+            tests += [F.sum(F.when(z.isNotNull(), guess * z)).alias(f"{name}_y"), F.sum(F.when(z.isNotNull(), guess * guess)).alias(f"{name}_g")]
+    told = whole.agg(*tests).first()
+    part = lambda name: max(0.0, min(1.0, (told[f"{name}_y"] or 0.0) / told[f"{name}_g"])) if told[f"{name}_g"] else 0.0
     rows = []
     for i, field in enumerate(fields):
-        here = i * per + REACH
-        fit = F.col("u") * float(loadings[here, 0]) + F.col("v") * float(loadings[here, 1]) + centre[i]
+        here = centres[i]
+        close = (F.col("u") * float(loadings[here, 0]) + F.col("v") * float(loadings[here, 1])) * part(f"n{i}")
+        far = (F.col(f"p_{i}") * F.col("p") + F.col(f"q_{i}") * F.col("q")) * part(f"t{i}")
+        fit = F.when(F.col("support") >= RANK, close).otherwise(far) + centre[i]
         guess = F.expm1(F.greatest(fit, F.lit(0.0)))
-        seen, backed = F.col(f"x{i}").isNotNull(), F.col("support") >= RANK
+        seen = F.col(f"x{i}").isNotNull()
+        backed = (F.col("support") >= RANK) | ((F.col(f"c_{i}") >= RANK) & (F.col("c") >= RANK))
         rows.append(
             F.struct(
                 F.lit(field).alias("field_name"),
@@ -170,7 +242,8 @@ def complete_grid(
                 F.when(seen, "observed").when(backed & F.col(f"m{i}").isNotNull(), "filled").otherwise("unsupported").alias("status"),
             )
         )
-    solved = wide.select(*keys, "slot", *[f"{c}{i}" for i in range(n) for c in "xm"], u.alias("u"), v.alias("v"), support.alias("support"))
+    factors = ["p", "q", "c", *[f"{f}_{i}" for i in range(n) for f in "pqc"]]
+    solved = whole.select(*keys, "slot", *[f"{c}{i}" for i in range(n) for c in "xm"], *factors, u.alias("u"), v.alias("v"), support.alias("support"))
     return solved.select(*[F.col(k).alias(c) for c, k in zip(entity, keys)], "slot", F.inline(F.array(*rows))).select(
         *entity, "field_name", "slot", "value", "status"
     )

@@ -7,22 +7,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.operators.drift import consistent_table, schema_changes, whole_table
+from chalkline.operators.drift import path_values, plain_value, schema_changes, whole_table
 from chalkline.operators.grid import complete_grid
 from chalkline.operators.intervals import periods_and_gaps
 from chalkline.operators.spikes import Reading, flag_readings
+from chalkline.operators.timeline import micro
 from chalkline.sources.tables import load
 
 READINGS = (Reading("residual_motion_max"), Reading("max_ball_speed", zero_is_normal=True), Reading("camera_motion_magnitude"))
-#: Columns of the consistent table: type and the names the field has had.
-RAW_COLUMNS = {
-    "cue_strike": ("seconds", ("cue_strike", "cue_strike_timestamp", "strike_time", "cueStrike")),
-    "ball_motion_end": ("seconds", ("ball_motion_end", "end_of_motion", "motion_end", "ballMotionEnd")),
-    "physical_stop_timestamp": ("seconds", ("physical_stop_timestamp", "ball_stop", "stop_timestamp", "physicalStopTimestamp")),
-    "table_observable": ("boolean", ("table_observable", "tableObservable", "table_visible", "tbl_obs", "is_table_observable")),
-    "view_type": ("string", ("view_type", "viewType", "camera_view")),
-    "t": ("double", ("t",)),
-}
 SERIES = ("audio_onset", "residual_motion_mean")
 
 
@@ -48,6 +40,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return p2_grid(spark, folder).where("status <> 'observed'").select("job_id", "field_name", "slot")
 
 
+def p2_status(spark: SparkSession, folder: str) -> DataFrame:
+    """What is known of every second: observed with its value (in millionths), filled or unsupported."""
+    value = F.when(F.col("status") == "observed", micro(F.col("value")))
+    return p2_grid(spark, folder).select("job_id", "field_name", "slot", "status", value.alias("observed"))
+
+
 RAW = ("file_id", "job_id", "written_at", "record_key", "payload")
 
 
@@ -57,16 +55,18 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, folder: str) -> DataFrame:
-    """The older files as one table, with the number of casts that failed in a row."""
-    rows = consistent_table(load(spark, folder, "raw_records", *RAW), RAW_COLUMNS)
-    return rows.withColumn("n_failed", F.size("failed")).drop("failed")
-
-
-def p4_fields(spark: SparkSession, folder: str) -> DataFrame:
     """The older files as one table of all their fields, with the texts of the casts that failed in a row."""
     return whole_table(load(spark, folder, "raw_records", *RAW))
 
 
+def p4_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value of every field of the older files under its name there, with its type and its text, whatever it is wrapped in."""
+    values = path_values(load(spark, folder, "raw_records", *RAW))
+    plain = values.select("*", plain_value(F.col("value")).alias("plain"))
+    # Lists and objects that are no wrapping of one value are told by their type only: their text has no one form.
+    return plain.selectExpr("file as file_id", "record as record_key", "path as field_name", "type as json_type", r"if(plain rlike '^[\\[{]', null, plain) as plain")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Periods and gaps of shots and scenes."""
     parts = [
@@ -78,7 +78,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("job_id", "table_name", "kind", "start_ms", "end_ms")
 
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p2_found": p2_found, "p2_grid": p2_grid, "p4_found": p4_found, "p4_table": p4_table, "p4_fields": p4_fields, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p2_found": p2_found, "p2_grid": p2_grid, "p2_status": p2_status, "p4_found": p4_found, "p4_table": p4_table, "p4_values": p4_values, "p6_found": p6_found}
 
 _P6 = """
 , {t}_v as (select distinct job_id, cast(round({a} * 1000) as bigint) lo, cast(round({b} * 1000) as bigint) hi from {t}
@@ -105,6 +105,16 @@ left join v on v.job_id = c.job_id and v.slot = c.slot
 where not coalesce(case f.field_name when 'audio_onset' then v.a else v.m end, false)
 """
 
+_P2_STATUS = _P2[: _P2.index("v as (")] + """
+v as (select job_id, slot, avg(case when isfinite(a) and a >= 0 then a end) a, avg(case when isfinite(m) and m >= 0 then m end) m from r group by all),
+n as (select c.job_id, c.slot, count(v.a) + count(v.m) near from c left join v on v.job_id = c.job_id and v.slot between c.slot - 2 and c.slot + 2 group by all),
+o as (select c.job_id, c.slot, c.slot - b.lo off, v.a, v.m from c join b on b.job_id = c.job_id and c.slot between b.lo and b.hi left join v on v.job_id = c.job_id and v.slot = c.slot),
+x as (select off, count(a) + count(m) known from o group by all),
+y as (select job_id, count(a) na, count(m) nm from o group by all)
+select o.job_id, f.field_name, o.slot, case when val is not null then 'observed' when own > 0 and (near >= 2 or (own >= 2 and known >= 2)) then 'filled' else 'unsupported' end status, round_even(val * 1000000, 0)::bigint observed
+from o join n using (job_id, slot) join x using (off) join y using (job_id), lateral (values ('audio_onset', o.a, y.na), ('residual_motion_mean', o.m, y.nm)) f(field_name, val, own)
+"""
+
 _WIDTH = repr(math.log(1.02 / 0.98))
 _SOURCE = "job_id, layer, field"
 _HOUR = _SOURCE + ', "hour"'
@@ -171,6 +181,7 @@ o as (select row_id, field, v "value", case when isnan(v) or v < 0 or isinf(v) t
 select row_id, ['residual_motion_max', 'max_ball_speed', 'camera_motion_magnitude'][field + 1] field_name"""
 
 _TEXT = """coalesce(case json_type(v) when 'OBJECT' then coalesce(json_extract_string(v, '$.value'), json_extract_string(v, '$.v'), v::varchar)
+   when 'ARRAY' then case when json_array_length(v) = 1 then json_extract_string(v, '$[0]') else v::varchar end
    when 'NULL' then null else json_extract_string(v, '$') end)"""
 _P4 = f"""
 with l as (select file_id, job_id, written_at, record_key, payload::json j from raw_records where json_valid(payload) and json_type(try_cast(payload as json)) = 'OBJECT'),
@@ -202,28 +213,13 @@ union all select w.file_id, 'retyped', w.name, '' from ren join new w on w.job_i
 """
 
 
-def _typed(name: str, kind: str, aliases: tuple[str, ...]) -> str:
-    """A column of the consistent table: the first alias with a value, unwrapped and cast."""
-    each = "coalesce(" + ", ".join(f"case when json_type(j, '$.{a}') <> 'NULL' then json_extract(j, '$.{a}') end" for a in aliases) + ", null)"
-    text = f"(select trim({_TEXT}) from (select {each} v))"
-    if kind == "boolean":
-        return f"case when lower({text}) in ('true', 't', 'yes', 'y', '1') then true when lower({text}) in ('false', 'f', 'no', 'n', '0') then false end {name}"
-    if kind == "seconds":
-        return f"case when regexp_full_match({text}, '\\d{{4,}}') then {text}::double / 1000 else try_cast({text} as double) end {name}"
-    return f"try_cast({text} as {kind}) {name}" if kind != "string" else f"{text} {name}"
-
-
-_P4_TABLE = (
-    "with l as (select file_id, job_id, record_key, payload::json j from raw_records where json_valid(payload) and json_type(try_cast(payload as json)) = 'OBJECT')"
-    " select file_id, job_id, record_key, " + ", ".join(_typed(name, kind, aliases) for name, (kind, aliases) in RAW_COLUMNS.items()) + ", 0 n_failed from l"
-)
-
 SQL = {
     "p1_found": _P1 + " from o where reason <> ''",
     "p1_flags": _P1 + ", reason, \"value\" from o where reason <> ''",
     "p4_found": _P4,
-    "p4_table": _P4_TABLE,
+    "p4_values": _P4[: _P4.index("fo as (")].rstrip().rstrip(",") + " select file_id, record_key, name field_name, kind json_type, case when not regexp_matches(plain, '^[\\[{]') then plain end plain from x",
     "p2_found": _P2,
+    "p2_status": _P2_STATUS,
     "p6_found": "with z as (select 1)"
     + _P6.format(t="shots", a="clip_start", b="clip_end")
     + _P6.format(t="scenes", a='"start"', b='"end"')

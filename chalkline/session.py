@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -40,9 +41,29 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "chalkline-" + spark.sparkContext.applicationId)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table or folder of the shared folder, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_SWEPT: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for a table in the shared folder, under a folder of this application that is removed when it ends."""
+    own = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+    if own not in _SWEPT:
+        _SWEPT.add(own)
+        atexit.register(_sweep, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # the session has been stopped before: the folder's name tells whose it was
+        pass
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
