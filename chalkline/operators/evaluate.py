@@ -13,11 +13,11 @@ def match_events(predicted: DataFrame, truth: DataFrame, keys: list[str], tolera
     """One-to-one matches (keys, `p`, `g`, `d`): pairs at most `tolerance_s` apart, nearest first, each event used once.
 
     predicted has keys and `p`, truth keys and `g` (times). Pairs are made by shard of the clock; the greedy choice runs
-    over a key's pairs, which are as few as its events.
+    over pieces of a key's pairs that share no event.
     """
     spans = truth.where("g is not null").select(*keys, "g", (F.col("g") - tolerance_s).alias("_lo"), (F.col("g") + tolerance_s).alias("_hi"))
     pairs = within(predicted.where("p is not null").select(*keys, "p"), spans, keys, "p", "_lo", "_hi").withColumn("d", F.abs(F.col("p") - F.col("g")))
-    return match_one_to_one(pairs.where(F.col("d") <= tolerance_s).select(*keys, "p", "g", "d"), "p", "g", "d", keys)
+    return match_one_to_one(pairs.where(F.col("d") <= tolerance_s).select(*keys, "p", "g", "d"), "p", "g", "d", keys, tolerance_s)
 
 
 def metrics_by_key(predicted: DataFrame, truth: DataFrame, keys: list[str], tolerance_s: float) -> DataFrame:

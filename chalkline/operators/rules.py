@@ -11,17 +11,38 @@ from chalkline.operators.timeline import KEYS
 
 c = F.col
 
-# The names under which a cutting mode may be given.
+# The modes and the other names under which each may be given.
 MODE_NAMES = {
-    "strict": "strict", "strict_action": "strict", "action_only": "action_only", "action": "action_only", "natural": "natural", "natural_flow": "natural",
-    "full": "full_sequence", "full_sequence": "full_sequence",
-}
+    "strict": ("strict_mode", "shots_only", "shot_only", "pure"),
+    "action_only": ("action", "actiononly"),
+    "natural": ("highlights", "natural_highlights"),
+    "full_sequence": ("full", "full_shot_sequence", "sequence"),
+}
 
 
 def mode_name(text: Column) -> Column:
-    """The mode a name means: case, spaces and hyphens do not matter; null if it means none."""
-    plain = F.regexp_replace(F.lower(F.trim(text)), r"[\s-]+", "_")
-    return F.element_at(F.create_map(*[F.lit(x) for pair in MODE_NAMES.items() for x in pair]), plain)
+    """The mode a name means: case, spaces and hyphens do not matter. Null stays null; a name of no mode is an error."""
+    plain = F.regexp_replace(F.lower(F.trim(text)), "[ -]", "_")
+    known = [F.lit(x) for mode, names in MODE_NAMES.items() for name in (mode, *names) for x in (name, mode)]
+    found = F.element_at(F.create_map(*known), plain)
+    return F.when(text.isNull(), F.lit(None)).otherwise(F.coalesce(found, F.raise_error(F.concat(F.lit("no such mode: "), text)).cast("string")))
+
+
+def retained(evidence: Column, audio_support: Column) -> Column:
+    """Whether a proposed onset stays: the close look confirmed it (a transition, or an onset hidden behind the player that
+    lasts two samples), or it was heard first and the picture supports it. A proposal alone does not stay."""
+    said = lambda key: F.coalesce(evidence[key], F.lit(0.0))
+    hidden = (said("occlusion_inferred") >= 0.5) & (said("ball_onset_run") >= 2.0)
+    confirmed = (said("dense_transition_confirmed") >= 0.5) | (said("sparse_dense_transition") >= 0.5) | hidden
+    return confirmed | ((said("audio_seed") >= 0.5) & F.coalesce(audio_support, F.lit(False)))
+
+
+def included_at_first(possible_replay: Column, view: Column, evidence: Column, retain_replays: bool = False) -> tuple[Column, Column]:
+    """Whether a new shot is included and whether its replay doubt calls for review. Only a replay's view or a confirmed
+    signature leaves it out; a mere guess leaves it in, for review."""
+    doubt = F.coalesce(possible_replay, F.lit(False)) & F.lit(not retain_replays)
+    certain = F.coalesce(view.isin(*p.REPLAYS), F.lit(False)) | (F.coalesce(evidence["replay_signature_confirmed"], F.lit(0.0)) >= 0.5)
+    return ~(doubt & certain), doubt
 
 
 def is_replay() -> Column:
@@ -35,22 +56,41 @@ def export_filter(shots: DataFrame, include_replays: bool = False, only_included
     return shots.where(chosen & scores)
 
 
-def boundary_violations(shots: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+#: Times of a shot that are kept under two names.
+ALIASES = {"cue_strike": "cue_strike_timestamp", "clip_start": "clip_start_timestamp", "clip_end": "clip_end_timestamp"}
+
+
+def boundary_violations(shots: DataFrame, tolerance: float = 1e-6, durations: DataFrame | None = None, fps: float = 30.0) -> DataFrame:
     """What is wrong with clips under the strict rules: job_id, shot_id, `violation` (one row each).
 
-    The clip begins 2 s before the strike (not before 0), ends at the stop or 4 s after the strike, whichever is later, is
-    not empty and holds the strike. Shots with a null time are left out.
+    Times under two names agree; the clip begins 2 s before the strike (not before 0) and ends at the stop or 4 s after
+    the strike, whichever is later, or where the source does (`durations`: job_id, `source_s`); the stop is not before the
+    last motion and not after its confirmation; the clip is not empty, holds the strike, and does not outlast the source by
+    more than a frame. A check is left out where a time it needs is null or no column of `shots`.
     """
     before, after = DEFAULT.modes["strict"].pre_s, DEFAULT.strict_after_s
-    expected_start = F.greatest(F.lit(0.0), c("cue_strike") - before)
-    expected_end = F.greatest("ball_motion_end", c("cue_strike") + after)
-    checks = {
-        "start": F.abs(c("clip_start") - expected_start) > tolerance, "end": F.abs(c("clip_end") - expected_end) > tolerance, "empty": c("clip_end") <= c("clip_start"),
-        "strike": ~c("cue_strike").between(c("clip_start"), c("clip_end")), "stop": c("ball_motion_end") < c("cue_strike"),
-    }
-    whole = shots.where("cue_strike is not null and ball_motion_end is not null and clip_start is not null and clip_end is not null")
+    rows = shots.withColumns({x: F.lit(None).cast("double") for x in (*ALIASES.values(), "physical_stop_timestamp", "stop_confirmation_timestamp", "last_ball_motion_timestamp") if x not in shots.columns})
+    if durations is not None:
+        rows = rows.join(durations.select("job_id", "source_s"), "job_id", "left")
+    else:
+        rows = rows.withColumn("source_s", F.lit(None).cast("double"))
+    strike, start, end = (F.coalesce(alias, name) for name, alias in ALIASES.items())
+    stop, source = F.coalesce("physical_stop_timestamp", "ball_motion_end"), F.when(c("source_s") > 0, c("source_s"))
+    frame = max(tolerance, 1.0 / max(fps or 30.0, 1.0))
+    ends_at = F.when(stop.isNotNull() & strike.isNotNull(), F.least(source, F.greatest(stop, strike + after)))
+    checks = {f"{name}_alias": F.abs(c(name) - c(alias)) > tolerance for name, alias in ALIASES.items()} | {
+        "start": F.abs(start - F.greatest(F.lit(0.0), strike - before)) > tolerance,
+        "end": F.abs(end - ends_at) > tolerance,
+        "confirmation": c("stop_confirmation_timestamp") + tolerance < stop,
+        "last_motion": c("last_ball_motion_timestamp") > stop + tolerance,
+        "interval": (start < -tolerance) | (end <= start + tolerance),
+        "strike": ~strike.between(start - tolerance, end + tolerance),
+        "source": end > source + frame,
+    }
+    # The start needs a strike: without one `greatest` would pass the null over.
+    checks["start"] = checks["start"] & strike.isNotNull()
     found = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
-    return whole.select("job_id", "shot_id", F.explode(found).alias("violation"))
+    return rows.select("job_id", "shot_id", F.explode(found).alias("violation"))
 
 
 def require_valid(shots: DataFrame) -> DataFrame:

@@ -34,12 +34,15 @@ def views_between(shots: DataFrame, tl: DataFrame, low: str, high: str) -> DataF
 def clip_bounds(stops: DataFrame, tl: DataFrame, ends: DataFrame, mode: str, conf: Config = DEFAULT) -> DataFrame:
     """Clips of onsets with stops: adds start, end, stop, confirmed, review, minimum of the mode.
 
-    `ends`: KEYS, `duration` of each recording. Onsets without sustained motion to the end are no shots.
+    `ends`: KEYS, `duration` of each recording. A column `geometry` of `stops` (how far the cue's line confirms the onset, null
+    if unknown) below 0.5 calls for review. Onsets without sustained motion to the end are no shots.
     """
     m = conf.modes[mode]
     level = p.confidence_band(c("confidence"))
     rows = stops.where("stop_reason <> 'no_sustained_ball_motion'").join(ends, list(KEYS)).withColumn("strike", c("t"))
     review = (level != "high") | c("stop_review") | ~c("confirmed")
+    if "geometry" in rows.columns:
+        review = review | (F.coalesce("geometry", F.lit(1.0)) < 0.5)
     if m.strict:
         start = F.greatest(F.lit(0.0), c("strike") - m.pre_s)
         first = F.least("stop", c("strike") + conf.strict_after_s)

@@ -10,8 +10,10 @@ from chalkline.functions import predicates as p
 from chalkline.operators import joins, rules, scenes, shots as sh, windows as w
 from chalkline.operators.timeline import KEYS, micro
 from chalkline.plans import base_sql as b
-from chalkline.plans.shot_queries import _CAND, _SHOTS, _SPANS, _spaced, candidates, clean_shots, clips, in_recordings, us
+from chalkline.plans.shot_queries import _CAND, _SHOTS, _SPANS, _TIMES, _spaced, candidates, clean_shots, clips, in_recordings, refined_candidates, us
+from chalkline.plans.shot_queries import SQL as _SHOT_SQL
 from chalkline.plans.timeline_queries import _SCORE, _TRANS, _USABLE, _W, _suppress, tl
+from chalkline.sources.tables import load
 
 c = F.col
 
@@ -27,8 +29,25 @@ def exported_with_replays(spark, folder):
 
 
 def boundary_violations(spark, folder):
-    """Shots that break the strict boundaries."""
-    return rules.boundary_violations(clean_shots(spark, folder))
+    """Shots that break the strict boundaries; a source is as long as its last sample is late."""
+    ends = tl(spark, folder, "motion_raw").groupBy("job_id").agg(F.max("t").alias("source_s"))
+    return rules.boundary_violations(clean_shots(spark, folder, *_TIMES), durations=ends)
+
+
+def retained_candidates(spark, folder):
+    """Candidates that the timeline confirms, or that were heard (half the loudest or more) and that it supports."""
+    confirmed = refined_candidates(spark, folder).select("candidate_id", "confirmed")
+    heard = candidates(spark, folder).select("candidate_id", F.coalesce(c("evidence")["audio"], F.lit(0.0)).alias("heard"))
+    rows = confirmed.join(heard, "candidate_id").join(audio_support(spark, folder).select("candidate_id", "supported"), "candidate_id", "left")
+    said = F.create_map(F.lit("dense_transition_confirmed"), c("confirmed").cast("double"), F.lit("audio_seed"), (c("heard") >= 0.5).cast("double"))
+    return rows.where(rules.retained(said, c("supported"))).select("candidate_id", "confirmed")
+
+
+def first_inclusion(spark, folder):
+    """Whether each candidate's shot would be included at first, and whether its replay doubt calls for review."""
+    rows = load(spark, folder, "strike_candidates", "candidate_id", "possible_replay", "camera_view", "evidence").where("candidate_id is not null")
+    included, doubt = rules.included_at_first(c("possible_replay"), c("camera_view"), c("evidence"))
+    return rows.groupBy("candidate_id").agg(F.bool_and(included).alias("included"), F.bool_or(doubt).alias("review"))
 
 
 def repaired_views(spark, folder):
@@ -92,21 +111,24 @@ def rows_per_view(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        exported_shots, exported_with_replays, boundary_violations, repaired_views, confirmed_cuts, scene_segments, stable_speeds, sampled_rows, joined_seek, audio_support, shot_lengths,
+        exported_shots, exported_with_replays, boundary_violations, retained_candidates, first_inclusion, repaired_views, confirmed_cuts, scene_segments, stable_speeds, sampled_rows, joined_seek, audio_support, shot_lengths,
         rows_per_view,
     )
 }
 
 _M = b.micro
 _REPLAY_SHOT = "(possible_replay or linked_live_shot_id is not null or list_has_any(coalesce(camera_views, []), ['replay', 'slow_motion_replay']))"
-_SHOTS_ALL = _SHOTS.replace("ingested_at from shots", "ingested_at, camera_views, linked_live_shot_id from shots")
+_SHOTS_ALL = _SHOTS.replace("ingested_at from shots", "ingested_at, camera_views from shots")
 SQL = {
     "exported_shots": f"with {_SHOTS_ALL} select job_id, shot_id from clip where not {_REPLAY_SHOT} and included and coalesce(shot_confidence, 0) >= 0.5",
     "exported_with_replays": f"with {_SHOTS_ALL} select job_id, shot_id from clip where {_REPLAY_SHOT} or included",
-    "boundary_violations": f"""with {_SHOTS}, w as (select * from cs where cue_strike is not null and ball_motion_end is not null and clip_start is not null and clip_end is not null),
-u as (select job_id, shot_id, 'start' violation from w where abs(clip_start - greatest(0, cue_strike - 2)) > 1e-6 union all select job_id, shot_id, 'end' from w where abs(clip_end - greatest(ball_motion_end, cue_strike + 4)) > 1e-6
-union all select job_id, shot_id, 'empty' from w where clip_end <= clip_start union all select job_id, shot_id, 'strike' from w where not cue_strike between clip_start and clip_end
-union all select job_id, shot_id, 'stop' from w where ball_motion_end < cue_strike) select * from u""",
+    "boundary_violations": b.TIMELINE + ", " + _SHOTS.replace("ingested_at from shots", "ingested_at, " + ", ".join(f"case when isfinite({x}) then {x} end {x}" for x in _TIMES) + " from shots")
+    + """, z as (select job_id, max(t) source_s from tl group by all),
+w as (select cs.*, coalesce(cue_strike_timestamp, cue_strike) s, coalesce(clip_start_timestamp, clip_start) a, coalesce(clip_end_timestamp, clip_end) e, coalesce(physical_stop_timestamp, ball_motion_end) p, case when source_s > 0 then source_s end src from cs left join z using (job_id)),
+u as (select job_id, shot_id, unnest([case when abs(cue_strike - cue_strike_timestamp) > 1e-6 then 'cue_strike_alias' end, case when abs(clip_start - clip_start_timestamp) > 1e-6 then 'clip_start_alias' end,
+ case when abs(clip_end - clip_end_timestamp) > 1e-6 then 'clip_end_alias' end, case when s is not null and abs(a - greatest(0, s - 2)) > 1e-6 then 'start' end,
+ case when p is not null and s is not null and abs(e - least(src, greatest(p, s + 4))) > 1e-6 then 'end' end, case when stop_confirmation_timestamp + 1e-6 < p then 'confirmation' end, case when last_ball_motion_timestamp > p + 1e-6 then 'last_motion' end,
+ case when a < -1e-6 or e <= a + 1e-6 then 'interval' end, case when not s between a - 1e-6 and e + 1e-6 then 'strike' end, case when e > src + 1 / 30.0 then 'source' end]) violation from w) select * from u where violation is not null""",
     "repaired_views": b.TIMELINE + f""", f as (select *, avg(({b.REPLAY})::int) over (partition by job_id, sitting) >= 0.9 and avg((green_ratio >= 0.18)::int) over (partition by job_id, sitting) >= 0.2 wrong from tl)
 select job_id, {_M('t', 't_us')}, case when wrong and green_ratio >= 0.18 then 'main_table' else view_type end repaired_view from f""",
     "confirmed_cuts": b.TIMELINE + f""", a as (select *, least(1.0, scene_cut_score + coalesce(lag(scene_cut_score) over ({_W}), 0)) two from tl), n as (select *, lead(two) over ({_W}) nx from a)
@@ -132,6 +154,11 @@ select candidate_id, {_M('before', 'before')}, {_M('peak', 'peak')}, active, coa
     "rows_per_view": b.TIMELINE + f"select job_id, sitting, view_type, count(*) n, count(*) filter ({b.VALID_STRIKE}) \"valid\", sum(round_even(motion_raw * 10000, 0)::bigint)::bigint motion from tl group by all",
 }
 
+SQL["retained_candidates"] = f"""with {_CAND.replace("'confidence': coalesce", "'heard': coalesce(evidence['audio'], 0), 'confidence': coalesce").replace("x.confidence confidence from", "x.confidence confidence, x.heard heard from")}
+select r.candidate_id, r.confirmed from ({_SHOT_SQL['refined_candidates']}) r join cand using (candidate_id) left join ({SQL['audio_support']}) s using (candidate_id) where r.confirmed or (heard >= 0.5 and coalesce(s.supported, false))"""
+SQL["first_inclusion"] = """select candidate_id, bool_and(not (coalesce(possible_replay, false) and (coalesce(camera_view in ('replay', 'slow_motion_replay'), false) or coalesce(evidence['replay_signature_confirmed'], 0) >= 0.5))) included,
+ bool_or(coalesce(possible_replay, false)) review from strike_candidates where candidate_id is not null group by 1"""
+
 # Checks of queries defined in the other modules.
 _PEAKS = f"""a_s as (select *, {b.clip('greatest(audio_onset, audio_highband)')} score from tl), a_l as (select *, lag(score) over ({_W}) p, lead(score) over ({_W}) n from a_s),
 a_p as (select job_id, sitting, t, score, row_number() over (partition by job_id, sitting order by score desc, t) i from a_l where score >= 0.30 and score >= p and score > n),
@@ -237,9 +264,10 @@ SQL |= {
     + f" select fd.job_id, {_M('fd.t', 't_us')}, {_M('strike_score', 'strike_score')}, {_M('confidence', 'confidence')}, kind from kept join fd using (job_id, sitting, t)",
     "audio_seeds": _REC + f", {_PEAKS}, {_CAND}, fr as (select * from a_f f where not exists (select 1 from cand c where c.job_id = f.job_id and c.t between f.t - 1.5 and f.t + 1.5 and abs(c.t - f.t) <= 1.5)), "
     + _spaced("fr", "t", 1.5, "job_id, sitting") + f" select job_id, {_M('at_', 't_us')} from g_k where kept",
-    "decision_list": f"with {_SHOTS}, o as (select *, sum(clip_end - clip_start) over (partition by job_id order by shot_id rows unbounded preceding) ro from clip where included)"
-    f" select job_id, shot_id, lpad(shot_id::varchar, greatest(3, length(shot_id::varchar))::int, '0') || ' AX V C ' || {_CLOCK.format('clip_start')} || ' ' || {_CLOCK.format('clip_end')} || ' '"
-    f" || {_CLOCK.format('ro - (clip_end - clip_start)')} || ' ' || {_CLOCK.format('ro')} line from o",
+    "decision_list": f"""with {_SHOTS}, o as (select *, row_number() over (partition by job_id order by shot_id) i, sum(clip_end - clip_start) over (partition by job_id order by shot_id rows unbounded preceding) ro from clip where included),
+l as (select job_id, i, unnest([{{'k': 1, 'line': lpad(i::varchar, greatest(3, length(i::varchar))::int, '0') || '  AX       V     C        ' || replace({_CLOCK.format('clip_start')} || ' ' || {_CLOCK.format('clip_end')} || ' '
+ || {_CLOCK.format('ro - (clip_end - clip_start)')} || ' ' || {_CLOCK.format('ro')}, '.', ':')}}, {{'k': 2, 'line': '* FROM CLIP NAME: shot_' || lpad(shot_id::varchar, greatest(4, length(shot_id::varchar))::int, '0')}}, {{'k': 3, 'line': '* SOURCE FILE: ' || job_id}}]) x from o)
+select job_id, (i - 1) * 3 + x.k + 3 line_no, x.line line from l union all select job_id, k, line from (select distinct job_id from o) cross join (values (1, 'TITLE: Export'), (2, 'FCM: NON-DROP FRAME'), (3, '')) h(k, line)""",
     "scalar_functions": f"""with {_SHOTS}, w as (select *, shot_id * 13 + 640 w, shot_id * 7 + 480 h from clip), z as (select *, least(1.0, 960.0 / w, 540.0 / h) sc from w)
 select job_id, shot_id, {_CLOCK.format('floor(clip_start * 1000) / 1000')} "at", case when shot_id % 3 = 0 then 0.0 else shot_id::double / (shot_id % 3) end rate,
  greatest(2, (round_even(w * sc / 2, 0) * 2)::int) width, greatest(2, (round_even(h * sc / 2, 0) * 2)::int) height, round_even(clip_start * 25.0, 0)::bigint frame,

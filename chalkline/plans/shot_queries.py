@@ -33,15 +33,18 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     return good.groupBy("candidate_id").agg(best.alias("x")).select("candidate_id", "x.*")
 
 
-def clean_shots(spark: SparkSession, folder: str) -> DataFrame:
-    """Shots without copies: of a (job_id, shot_id) the last to arrive, then the largest values."""
-    names = ("cue_strike", "ball_motion_end", "clip_start", "clip_end", "shot_confidence", "importance")
-    rows = load(spark, folder, "shots", "job_id", "shot_id", *names, "included", "possible_replay", "camera_views", "linked_live_shot_id", "ingested_at")
+_TIMES = ("cue_strike_timestamp", "clip_start_timestamp", "clip_end_timestamp", "physical_stop_timestamp", "stop_confirmation_timestamp", "last_ball_motion_timestamp")
+
+
+def clean_shots(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """Shots without copies: of a (job_id, shot_id) the last to arrive, then the largest values; `more` numbers come along."""
+    names = (*more, "cue_strike", "ball_motion_end", "clip_start", "clip_end", "shot_confidence", "importance")
+    rows = load(spark, folder, "shots", "job_id", "shot_id", *names, "included", "possible_replay", "manual_review_required", "camera_views", "linked_live_shot_id", "ingested_at")
     good = rows.select(
         "job_id", "shot_id", *[finite(F.col(n)).alias(n) for n in names], F.coalesce("included", F.lit(True)).alias("included"),
-        F.coalesce("possible_replay", F.lit(False)).alias("possible_replay"), F.coalesce("camera_views", F.array().cast("array<string>")).alias("camera_views"), "linked_live_shot_id", "ingested_at",
+        *[F.coalesce(x, F.lit(False)).alias(x) for x in ("possible_replay", "manual_review_required")], F.coalesce("camera_views", F.array().cast("array<string>")).alias("camera_views"), "linked_live_shot_id", "ingested_at",
     ).where("job_id is not null and shot_id is not null")
-    pick = F.struct("ingested_at", F.coalesce("shot_confidence", F.lit(-1.0)), F.coalesce("importance", F.lit(-1.0)), "included", "possible_replay")
+    pick = F.struct("ingested_at", F.coalesce("shot_confidence", F.lit(-1.0)), F.coalesce("importance", F.lit(-1.0)), "included", "possible_replay", "manual_review_required")
     columns = [n for n in good.columns if n not in ("job_id", "shot_id", "ingested_at")]
     return good.groupBy("job_id", "shot_id").agg(F.max_by(F.struct(*columns), pick).alias("x")).select("job_id", "shot_id", "x.*")
 
@@ -66,11 +69,15 @@ def in_recordings(events: DataFrame, rows: DataFrame, t: str) -> DataFrame:
 
 
 def frame_scenes(spark, folder):
-    """Each sample with the scene it lies in: of several the one that began last, then the first view by name."""
+    """Each sample with the scene it lies in: of several the one that began last, then the first view by name; null without
+    one. A job's last scene has no end."""
     scenes = load(spark, folder, "scenes", "job_id", "start", "end", "view_type").where("start is not null and `end` > start")
-    spans = scenes.select("job_id", F.col("start").alias("lo"), F.col("end").alias("hi"), F.coalesce("view_type", F.lit("other")).alias("scene_view"))
     rows = tl(spark, folder, "motion_raw").select("job_id", "t")
-    found = joins.within(rows, spans, ["job_id"], "t", "lo", "hi", closed=False)
+    ends = rows.groupBy("job_id").agg((F.max("t") + 1.0).alias("beyond")).join(scenes.groupBy("job_id").agg(F.max("start").alias("last")), "job_id")
+    spans = scenes.join(ends, "job_id", "left").select(
+        "job_id", F.col("start").alias("lo"), F.when(F.col("start") == F.col("last"), F.greatest("end", "beyond")).otherwise(F.col("end")).alias("hi"), F.coalesce("view_type", F.lit("other")).alias("scene_view")
+    )
+    found = joins.within(rows, spans, ["job_id"], "t", "lo", "hi", "left", closed=False)
     last = F.max_by("scene_view", F.struct("lo", "hi", "scene_view"))
     return found.groupBy("job_id", "t").agg(F.max("lo").alias("lo"), last.alias("scene_view")).select("job_id", micro("t").alias("t_us"), micro("lo").alias("scene_us"), "scene_view")
 
@@ -307,14 +314,22 @@ def event_report(spark, folder):
     return evaluate.macro(_evaluated(spark, folder)).select("videos", "predicted", "true", "matched", *us(*_RATIOS))
 
 
+def _ranges(spark, folder):
+    """The clips as ranges to keep, with the length of their source: the time of its last sample."""
+    ends = tl(spark, folder, "motion_raw").groupBy("job_id").agg(F.max("t").alias("source_s"))
+    return clean_shots(spark, folder).select("job_id", "shot_id", "clip_start", "clip_end").join(ends, "job_id", "left")
+
+
 def keep_ranges(spark, folder):
-    """The clips as ranges to keep: merged, and what is wrong with them."""
-    return edits.keep_ranges(clean_shots(spark, folder).select("job_id", "clip_start", "clip_end"), ["job_id"], "clip_start", "clip_end")
+    """The ranges of each job without a fault, joined where they touch."""
+    ranges = _ranges(spark, folder)
+    wrong = edits.range_violations(ranges, ["job_id"], "shot_id", "clip_start", "clip_end", "source_s").select("job_id", "shot_id")
+    return edits.keep_ranges(ranges.join(wrong, ["job_id", "shot_id"], "left_anti"), ["job_id"], "clip_start", "clip_end")
 
 
 def range_violations(spark, folder):
-    """Ranges that are empty, reversed, negative or overlap the one before."""
-    return edits.range_violations(clean_shots(spark, folder).select("job_id", "shot_id", "clip_start", "clip_end"), ["job_id"], "shot_id", "clip_start", "clip_end")
+    """Ranges that forbid keeping a job's ranges as they are."""
+    return edits.range_violations(_ranges(spark, folder), ["job_id"], "shot_id", "clip_start", "clip_end", "source_s")
 
 
 def split_shots(spark, folder):
@@ -330,7 +345,8 @@ def merged_shots(spark, folder):
 
 def deleted_shots(spark, folder):
     """Shots that are replays deleted, the others renumbered."""
-    return edits.renumber(clips(spark, folder).where(~F.col("possible_replay")), ["job_id"]).select("job_id", "shot_id", *us("clip_start", "clip_end"))
+    rows = clips(spark, folder)
+    return edits.delete(rows, rows.where("possible_replay").select("job_id", "shot_id"), ["job_id"]).select("job_id", "shot_id", *us("clip_start", "clip_end"))
 
 
 def shot_rows(spark, folder):
@@ -339,13 +355,25 @@ def shot_rows(spark, folder):
 
 
 def decision_list(spark, folder):
-    """The lines of the edit decision list."""
+    """The lines of each job's edit decision list."""
     return sinks.decision_list(clips(spark, folder).where("included"))
 
 
 def chapters(spark, folder):
     """Chapters of the joined clips, in ms."""
-    return sinks.chapters(clips(spark, folder).where("included"))
+    return sinks.chapters(clips(spark, folder).where("included")).drop("rank")
+
+
+def chapter_list(spark, folder):
+    """The lines of each job's chapter list."""
+    return sinks.chapter_list(clips(spark, folder).where("included"))
+
+
+def carried_decisions(spark, folder):
+    """Candidates as shots to be cut anew, with what was decided about the shots of the table they go back to."""
+    marks = folds.merge_near(candidates(spark, folder), 1.2, "t", "confidence", "evidence", ["candidate_id"])
+    new = marks.select("job_id", F.col("candidate_id").alias("shot_id"), F.col("t").alias("cue_strike"), F.lit(True).alias("included"), F.lit(None).cast("int").alias("linked_live_shot_id"))
+    return edits.carry_over(new, clean_shots(spark, folder), ["job_id"]).select("job_id", "shot_id", "included", "linked_live_shot_id")
 
 
 def scalar_functions(spark, folder):
@@ -365,7 +393,7 @@ QUERIES = {
         frame_scenes, near_cuts, audio_near, audio_seeds, scene_starts, scene_middles, merged_candidates, next_candidates, phase_labels, smoothed_motion, motion_stops,
         *[clips_of(m) for m in DEFAULT.modes], *[shots_of(m) for m in DEFAULT.modes], detected_stops, refine_windows, refined_candidates, replay_links, label_similarity, shot_views, shot_preparations, shot_importance,
         shot_offsets, shot_events, job_durations, matched_events, event_metrics, event_report, keep_ranges, range_violations, split_shots, merged_shots, deleted_shots,
-        shot_rows, decision_list, chapters, scalar_functions,
+        shot_rows, decision_list, chapters, chapter_list, carried_decisions, scalar_functions,
     )
 }
 
@@ -377,8 +405,8 @@ _FIN = "case when isfinite({0}) then {0} end"
 _NAMES = ("cue_strike", "ball_motion_end", "clip_start", "clip_end", "shot_confidence", "importance")
 _SHOTS = (
     "k_r as (select job_id, shot_id, " + ", ".join(_FIN.format(n) + " " + n for n in _NAMES)
-    + ", coalesce(included, true) included, coalesce(possible_replay, false) possible_replay, ingested_at from shots where job_id is not null and shot_id is not null),"
-    " k_s as (select *, row_number() over (partition by job_id, shot_id order by ingested_at desc, coalesce(shot_confidence, -1) desc, coalesce(importance, -1) desc, included desc, possible_replay desc) n from k_r),"
+    + ", coalesce(included, true) included, coalesce(possible_replay, false) possible_replay, coalesce(manual_review_required, false) manual_review_required, linked_live_shot_id, ingested_at from shots where job_id is not null and shot_id is not null),"
+    " k_s as (select *, row_number() over (partition by job_id, shot_id order by ingested_at desc, coalesce(shot_confidence, -1) desc, coalesce(importance, -1) desc, included desc, possible_replay desc, manual_review_required desc) n from k_r),"
     " cs as (select * from k_s where n = 1), clip as (select * from cs where clip_start is not null and clip_end > clip_start)"
 )
 _SPANS = "rec as (select job_id, sitting, min(t) first_t, max(t) duration from tl group by all)"
@@ -406,11 +434,22 @@ g_k as (select {keys}, i, {t} at_, true kept from g_n where i = 1
   union all select {', '.join('n.' + k for k in keys.split(', '))}, n.i, case when n.{t} - k.at_ >= {gap} then n.{t} else k.at_ end, n.{t} - k.at_ >= {gap} from g_k k join g_n n on {same} and n.i = k.i + 1)"""
 
 
+_FOUR = "lpad(shot_id::varchar, greatest(4, length(shot_id::varchar))::int, '0')"
+_MERGED_ID = """c_n as (select *, row_number() over (partition by job_id order by t, candidate_id) i from cand),
+c_k as (select job_id, i, t kt, confidence ks, candidate_id kc, 0 step from c_n where i = 1
+  union all select n.job_id, n.i, case when n.t - k.kt >= 1.2 or n.confidence > k.ks then n.t else k.kt end, case when n.t - k.kt >= 1.2 or n.confidence > k.ks then n.confidence else k.ks end,
+    case when n.t - k.kt >= 1.2 or n.confidence > k.ks then n.candidate_id else k.kc end, case when n.t - k.kt >= 1.2 then 1 else 0 end from c_k k join c_n n on n.job_id = k.job_id and n.i = k.i + 1),
+c_g as (select *, sum(step) over (partition by job_id order by i) g from c_k), mi as (select job_id, max_by(kt, i) t, max_by(kc, i) id from c_g group by job_id, g)"""
 _TL = b.TIMELINE.replace("with ", "with recursive ", 1)
+_RANGES = b.TIMELINE + f""", {_SHOTS}, z as (select job_id, max(t) source_s from tl group by all),
+rg as (select cs.*, source_s, max(clip_end) over (o rows between unbounded preceding and 1 preceding) reach, row_number() over o nth from cs left join z using (job_id) window o as (partition by job_id order by clip_start nulls first, clip_end nulls first, shot_id)),
+rv as (select *, case when clip_start is null or clip_end is null then 'missing' when clip_start < -1e-3 or clip_end > greatest(0, source_s) + 1e-3 then 'outside'
+  when least(clip_end, source_s) - greatest(0, clip_start) < 0.05 then 'too short' when reach is not null and greatest(0, clip_start) < least(reach, source_s) - 1e-3 then 'overlap' when nth > 200 then 'too many' end violation from rg)"""
 _RATIO_SQL = ", ".join(_M(f'"{r}"', f'"{r}"') for r in _RATIOS)
 SQL = {
-    "frame_scenes": b.TIMELINE + f""", s as (select job_id, start lo, "end" hi, coalesce(view_type, 'other') v from scenes where start is not null and "end" > start)
-select tl.job_id, {_M('t', 't_us')}, {_M('max(lo)', 'scene_us')}, arg_max(v, (lo, hi, v)) scene_view from tl join s on s.job_id = tl.job_id and t >= lo and t < hi group by tl.job_id, t""",
+    "frame_scenes": b.TIMELINE + f""", z as (select job_id, max(t) + 1.0 beyond from tl group by all),
+s as (select job_id, start lo, case when start = max(start) over (partition by job_id) then greatest("end", beyond) else "end" end hi, coalesce(view_type, 'other') v from scenes left join z using (job_id) where start is not null and "end" > start)
+select tl.job_id, {_M('t', 't_us')}, {_M('max(lo)', 'scene_us')}, arg_max(v, (lo, hi, v)) scene_view from tl left join s on s.job_id = tl.job_id and t >= lo and t < hi group by tl.job_id, t""",
     "near_cuts": b.TIMELINE + f""", s as (select distinct job_id, round(start, 3) cut from scenes where start is not null)
 select tl.job_id, {_M('t', 't_us')}, {_M('arg_min(cut, (abs(cut - t), cut))', 'cut_us')} from tl join s on s.job_id = tl.job_id and t >= cut - 0.08 and t <= cut + 0.08 group by tl.job_id, t having min(abs(cut - t)) < 0.08""",
     "audio_near": b.TIMELINE + f""", a as (select *, max(audio_onset) over (partition by job_id, sitting order by t range between 0.12 preceding and 0.12 following) peak,
@@ -459,13 +498,11 @@ from s left join i using (job_id, shot_id) left join l using (job_id, shot_id)""
     "event_metrics": f'with recursive {_CAND}, {_SHOTS}, {_MATCH}, {_METRICS} select job_id, predicted, "true", matched, {_RATIO_SQL} from e3',
     "event_report": f'with recursive {_CAND}, {_SHOTS}, {_MATCH}, {_METRICS} select count(*) videos, sum(predicted)::bigint predicted, sum("true")::bigint "true", sum(matched)::bigint matched, '
     + ", ".join(_M(f'avg("{r}")', f'"{r}"') for r in _RATIOS) + " from e3",
-    "keep_ranges": f"""with {_SHOTS}, v as (select distinct job_id, round(clip_start * 1000)::bigint lo, round(clip_end * 1000)::bigint hi from cs where clip_start >= 0 and clip_end - clip_start >= 0.05),
-h as (select *, case when lo > max(hi) over w or max(hi) over w is null then 1 else 0 end h from v window w as (partition by job_id order by lo, hi rows between unbounded preceding and 1 preceding)),
+    "keep_ranges": f"""{_RANGES}, v as (select distinct job_id, greatest(0, round(clip_start * 1000)::bigint) lo, round(clip_end * 1000)::bigint hi from rv where violation is null),
+h as (select *, case when lo > max(hi) over w + 1 or max(hi) over w is null then 1 else 0 end h from v window w as (partition by job_id order by lo, hi rows between unbounded preceding and 1 preceding)),
 i as (select *, sum(h) over (partition by job_id order by lo, hi rows unbounded preceding) i from h)
 select job_id, min(lo) start_ms, max(hi) end_ms from i group by job_id, i""",
-    "range_violations": f"""with {_SHOTS}, v as (select *, max(clip_end) over (partition by job_id order by clip_start, clip_end, shot_id rows between unbounded preceding and 1 preceding) reach from cs where clip_start is not null and clip_end is not null)
-select job_id, shot_id, case when clip_start < -1e-3 then 'negative' when clip_end <= clip_start then 'reversed' when clip_end - clip_start < 0.05 then 'too short' else 'overlap' end violation from v
-where clip_start < -1e-3 or clip_end - clip_start < 0.05 or clip_start < reach - 1e-3""",
+    "range_violations": f"{_RANGES} select job_id, shot_id, violation from rv where violation is not null",
     "split_shots": f"""with {_SHOTS}, s as (select *, (clip_start + clip_end) / 2 cut, clip_end - clip_start >= 1.0 yes from clip),
 u as (select job_id, shot_id, 0 part, clip_start a, case when yes then cut else clip_end end e, cue_strike st, case when yes then least(ball_motion_end, cut) else ball_motion_end end me from s
  union all select job_id, shot_id, 1, cut, clip_end, greatest(cut, least(cue_strike, clip_end)), ball_motion_end from s where yes)
@@ -474,7 +511,17 @@ select job_id, row_number() over (partition by job_id order by a, shot_id, part)
 u as (select job_id, min(k) k, min(clip_start) a, max(clip_end) e, arg_min(coalesce(cue_strike, -1e300), k) st, bool_or(included) inc from r group by job_id, greatest(k, 2))
 select job_id, row_number() over (partition by job_id order by a, k)::int shot_id, {_M('a', 'clip_start')}, {_M('e', 'clip_end')}, {_M("case when st > -1e299 then st end", 'cue_strike')}, inc included from u""",
     "deleted_shots": f"with {_SHOTS} select job_id, row_number() over (partition by job_id order by clip_start, shot_id)::int shot_id, {_M('clip_start', 'clip_start')}, {_M('clip_end', 'clip_end')} from clip where not possible_replay",
-    "shot_rows": f"with {_SHOTS} select job_id, shot_id, round(clip_start, 3) \"start\", round(clip_end, 3) \"end\", round(clip_end - clip_start, 3) duration, round(cue_strike, 3) strike, round(shot_confidence, 3) confidence, round(importance, 3) importance, included from clip",
+    "shot_rows": f"with {_SHOTS} select job_id, shot_id, round(clip_start, 3) clip_start, round(cue_strike, 3) cue_strike, round(clip_end, 3) clip_end, round(clip_end - clip_start, 3) duration, round(shot_confidence, 3) confidence,"
+    " round(importance, 3) importance, possible_replay, manual_review_required review_required, included from clip",
     "chapters": f"""with {_SHOTS}, o as (select *, sum(clip_end - clip_start) over (partition by job_id order by shot_id rows unbounded preceding) ro from clip where included)
-select job_id, shot_id, round_even((ro - (clip_end - clip_start)) * 1000, 0)::bigint start_ms, round_even(ro * 1000, 0)::bigint end_ms, 'Shot ' || shot_id title from o""",
+select job_id, shot_id, round_even((ro - (clip_end - clip_start)) * 1000, 0)::bigint start_ms, round_even(ro * 1000, 0)::bigint end_ms, 'Shot ' || {_FOUR} || coalesce(' @ ' || printf('%.3f', cue_strike) || 's', '') title from o""",
+    "chapter_list": f"""with {_SHOTS}, o as (select *, row_number() over (partition by job_id order by shot_id) i, sum(clip_end - clip_start) over (partition by job_id order by shot_id rows unbounded preceding) ro from clip where included)
+select job_id, i + 1 line_no, printf('%.3f', ro - (clip_end - clip_start)) || chr(9) || printf('%.3f', clip_start) || chr(9) || printf('%.3f', clip_end) || chr(9) || shot_id || chr(9) || coalesce(printf('%.3f', cue_strike), '') line from o
+union all select distinct job_id, 1, '# edited_time' || chr(9) || 'source_start' || chr(9) || 'source_end' || chr(9) || 'shot_id' || chr(9) || 'cue_strike' from o""",
+    "carried_decisions": "with recursive " + _CAND + f", {_SHOTS}, " + _MERGED_ID + """,
+nw as (select job_id, id, t, row_number() over (partition by job_id order by t, id) i from mi), od as (select job_id, shot_id, cue_strike, included, linked_live_shot_id from cs where cue_strike is not null),
+kd as (select job_id, 0::bigint i, []::int[] used, null::bigint id, null::int took from (select distinct job_id from nw)
+ union all select k.job_id, n.i, case when o is null then k.used else list_append(k.used, o) end, n.id, o from kd k join nw n on n.job_id = k.job_id and n.i = k.i + 1
+  left join lateral (select arg_min(od.shot_id, (abs(od.cue_strike - n.t), od.cue_strike, od.shot_id)) o from od where od.job_id = n.job_id and abs(od.cue_strike - n.t) <= 1.5 and not list_contains(k.used, od.shot_id)) on true)
+select kd.job_id, kd.id shot_id, coalesce(od.included, true) included, od.linked_live_shot_id from kd left join od on od.job_id = kd.job_id and od.shot_id = kd.took where i > 0""",
 }

@@ -93,12 +93,23 @@ def test_scalars(spark):
 
 def test_exports(spark, tmp_path):
     shots = spark.createDataFrame([(1, 1, 10.0, 12.5, 11.0, 12.0, 0.9, 0.5, True), (1, 2, 20.0, 21.0, 20.5, 20.9, 0.8, 0.4, True)], "job_id bigint, shot_id int, clip_start double, clip_end double, cue_strike double, ball_motion_end double, shot_confidence double, importance double, included boolean")
-    assert [r.line for r in sinks.decision_list(shots).orderBy("shot_id").collect()] == ["001 AX V C 00:10.000 00:12.500 00:00.000 00:02.500", "002 AX V C 00:20.000 00:21.000 00:02.500 00:03.500"]
+    lines = [r.line for r in sinks.decision_list(shots, "Cut", F.lit("a.mp4")).orderBy("line_no").collect()]
+    assert lines == [
+        "TITLE: Cut", "FCM: NON-DROP FRAME", "", "001  AX       V     C        00:10:000 00:12:500 00:00:000 00:02:500", "* FROM CLIP NAME: shot_0001", "* SOURCE FILE: a.mp4",
+        "002  AX       V     C        00:20:000 00:21:000 00:02:500 00:03:500", "* FROM CLIP NAME: shot_0002", "* SOURCE FILE: a.mp4",
+    ]
     assert [(r.start_ms, r.end_ms) for r in sinks.chapters(shots).orderBy("shot_id").collect()] == [(0, 2500), (2500, 3500)]
+    meta = [r.line for r in sinks.chapter_metadata(shots).orderBy("line_no").collect()]
+    assert meta[:5] == [";FFMETADATA1", "[CHAPTER]", "TIMEBASE=1/1000", "START=0", "END=2500"] and len(meta) == 11
+    tsv = [r.line for r in sinks.chapter_list(shots).orderBy("line_no").collect()]
+    assert tsv[0].startswith("# edited_time\tsource_start") and tsv[1].split("\t")[:4] == ["0.000", "10.000", "12.500", "1"] and len(tsv) == 3
     sinks.write_rows(sinks.shot_rows(shots), str(tmp_path / "csv"))
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
-    label = json.loads(sinks.training_labels(shots.withColumns({"camera_views": F.array(F.lit("x")), "possible_replay": F.lit(False)})).orderBy("shot_id").first().label)
-    assert label["reaction_end"] == 12.5
+    assert "review_required" in sinks.shot_rows(shots).columns
+    label = json.loads(sinks.training_labels(shots).orderBy("shot_id").first().label)
+    assert label["reaction_end"] == 12.5 and set(label) == {"shot_id", "preparation_start", "cue_strike", "ball_motion_start", "ball_motion_end", "reaction_end", "possible_replay", "user_modified", "confidence"}
+    jobs = spark.createDataFrame([(1, "a.mp4", "2"), (9, "b.mp4", "2")], "job_id bigint, source_path string, version string")
+    papers = {r.job_id: json.loads(r.document) for r in sinks.label_documents(shots, jobs).collect()}
+    assert [x["shot_id"] for x in papers[1]["labels"]] == [1, 2] and papers[1]["source_path"] == "a.mp4" and papers[9]["labels"] == []
     doc = json.loads(sinks.analysis_documents(shots.select("job_id", "shot_id"), spark.createDataFrame([(1, 0.5)], "job_id bigint, start double")).first().document)
     assert len(doc["shots"]) == 2 and doc["scenes"] == [{"start": 0.5}]
 
