@@ -111,7 +111,7 @@ def range_violations(ranges: DataFrame, keys: list[str], row: str, low: str, hig
     """
     ordered = Window.partitionBy(*keys).orderBy(low, high, row)
     until = F.greatest(F.lit(0.0), c(source)) if source else F.lit(None).cast("double")
-    rows = ranges.withColumns({"_reach": F.max(high).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), "_n": F.row_number().over(ordered)})
+    rows = ranges.withColumns({"_reach": F.max(F.when(c(low).isNotNull(), c(high))).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), "_n": F.row_number().over(ordered)})
     start, end = F.greatest(F.lit(0.0), c(low)), F.least(c(high), until)
     what = (
         F.when(c(low).isNull() | c(high).isNull(), "missing").when((c(low) < -1e-3) | (c(high) > until + 1e-3), "outside").when(end - start < least_s, "too short")

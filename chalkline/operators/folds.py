@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chalkline.operators.sequence import carry_forward, join_by
 from chalkline.operators.timeline import KEYS
+from chalkline.session import cut
 
 #: Seconds in a shard of the clock.
 WIDTH_S = 3600.0
@@ -26,10 +27,10 @@ def in_pieces(df: DataFrame, keys: Sequence[str], t: str, gap_s: float, strictly
     """Adds `_piece`, the time at which an event's piece begins: a pause of `gap_s` or more (`strictly`: more) comes before it.
 
     Events are ordered within (key, shard of the clock); from shard to shard goes one row with the last event and the
-    last beginning.
+    last beginning. The events are used more than once, so they are written to the shared folder first.
     """
     by = [*keys, "_shard"]
-    rows = df.withColumn("_shard", F.floor(F.col(t) / WIDTH_S))
+    rows = cut(df, "events").withColumn("_shard", F.floor(F.col(t) / WIDTH_S))
     order = Window.partitionBy(*by).orderBy(t)
     ends = carry_forward(rows.groupBy(*by).agg(F.max(t).alias("_end")), keys, "_shard", "_end", "_before").drop("_end")
     placed = join_by(rows, ends, by).withColumn("_prior", F.coalesce(F.lag(t).over(order), F.col("_before")))

@@ -12,12 +12,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.config import DEFAULT, Config, State, Stop
 from chalkline.functions import predicates as p
+from chalkline.operators.folds import in_pieces
+from chalkline.operators.pieces import WIDTH_S, by_pieces, cut_pieces, in_piece, numbered, of_recordings
+from chalkline.operators.sequence import join_by
 from chalkline.operators.timeline import KEYS
+from chalkline.session import cut as written
 
 # The phases of a shot.
 PHASES = ("WAITING", "CUEING", "STRIKE_CANDIDATE", "STRIKE_CONFIRMED", "BALLS_MOVING", "BALLS_SETTLING", "ALL_BALLS_STOPPED")
@@ -144,14 +148,24 @@ def smoothed(tl: DataFrame, column: str = "motion_raw", alpha: float = DEFAULT.e
 
     The first row of a session is the series itself; then alpha * x + (1 - alpha) * before.
     """
-    rows = tl.select(*KEYS, "t", F.col(column).alias("x"), (F.col("scene_cut_score") >= cut).alias("cut"))
+    rows = numbered(written(tl.select(*KEYS, "t", F.col(column).alias("x"), (F.col("scene_cut_score") >= cut).cast("int").alias("cut")), "rows"))
+    # Sessions are counted by shard of the clock, with one row for each shard that goes on to the later ones.
+    by = [*KEYS, "_shard"]
+    rows = rows.withColumn("_shard", F.floor(F.col("t") / WIDTH_S))
+    along = Window.partitionBy(*KEYS).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*by).agg(F.sum("cut").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(along), F.lit(0))).drop("_n")
+    upto = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = join_by(rows, before, by).withColumn("session", F.col("_base") + F.sum("cut").over(upto)).drop("_base", "_shard")
 
     def smooth(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t", kind="stable")
-        session = part["cut"].cumsum().to_numpy()
-        return part[[*KEYS, "t"]].assign(session=session, smooth=part.groupby(session)["x"].transform(lambda x: x.ewm(alpha=alpha, adjust=False).mean()))
+        values = part.groupby("session")["x"].transform(lambda x: x.ewm(alpha=alpha, adjust=False).mean())
+        return part[[*KEYS, "t", "session", "_halo"]].assign(smooth=values)
 
-    return rows.groupBy(*KEYS).applyInPandas(smooth, _schema(rows, "t double", "session bigint", "smooth double"))
+    # What lies further back than this weighs less than the last digit of a number.
+    memory = math.ceil(math.log(1e-20) / math.log(1 - alpha)) if alpha < 1 else 1
+    run = lambda piece: piece.groupBy(*KEYS).applyInPandas(smooth, _schema(rows, "t double", "session bigint", "_halo boolean", "smooth double"))
+    return by_pieces(rows, run, 0.0, memory)
 
 
 @dataclass
@@ -282,9 +296,15 @@ def stop_inputs(tl: DataFrame, s: Stop = DEFAULT.stop) -> DataFrame:
     )
 
 
+#: Rows of a piece in which stops are sought.
+STOP_PIECE = 16_384
+
+
 def find_stops(tl: DataFrame, onsets: DataFrame, s: Stop = DEFAULT.stop) -> DataFrame:
     """Where motion ends after each onset (KEYS, `t`): KEYS and STOP_SCHEMA. The recording ends with its last row."""
     rows = stop_inputs(tl, s)
+    spread, pieces = cut_pieces(rows, s.max_s + s.baseline_s + 1.0, 1, STOP_PIECE)
+    ends = pieces.groupBy(*KEYS).agg(F.max("_last").alias("ends"))
 
     # The two sides may stem from the same table; new names keep them apart.
     own = [f"onset_{k}" for k in KEYS]
@@ -297,7 +317,7 @@ def find_stops(tl: DataFrame, onsets: DataFrame, s: Stop = DEFAULT.stop) -> Data
         part = part.sort_values("t", kind="stable")
         t = part["t"].to_numpy()
         flags = {c: part[c].to_numpy(dtype=float) for c in ("valid", "tracked", "calm", "start", "on", "activity")}
-        duration = float(t[-1]) if len(t) else math.inf
+        duration = float(marks["ends"].iloc[0])
         out = []
         for strike in sorted(marks["onset_t"].tolist()):
             a, b = np.searchsorted(t, [strike - s.baseline_s, strike - s.baseline_guard_s], "left")
@@ -306,8 +326,9 @@ def find_stops(tl: DataFrame, onsets: DataFrame, s: Stop = DEFAULT.stop) -> Data
             out.append((*key, strike, *find_stop(strike, duration, t, flags, baseline, s)))
         return pd.DataFrame(out, columns=columns)
 
-    marks = onsets.select(*[F.col(k).alias(o) for k, o in zip(KEYS, own)], F.col("t").alias("onset_t")).groupBy(*own)
-    return marks.cogroup(rows.groupBy(*KEYS)).applyInPandas(search, _schema(rows, *STOP_SCHEMA))
+    placed = in_piece(onsets.select(*KEYS, F.col("t").alias("onset_t")).join(ends, KEYS), pieces, "onset_t")
+    marks = placed.select(*[F.col(k).alias(o) for k, o in zip(KEYS, own)], "onset_t", "ends").groupBy(*own)
+    return of_recordings(marks.cogroup(spread.groupBy(*KEYS)).applyInPandas(search, _schema(rows, *STOP_SCHEMA)))
 
 
 @dataclass
@@ -373,17 +394,23 @@ SHOT_SCHEMA = (
 )
 
 
-def resolve_shots(clips: DataFrame, strict: bool) -> DataFrame:
-    """Resolve the overlaps of each recording's clips (columns of Clip) and number what is left."""
+def resolve_shots(clips: DataFrame, strict: bool, reach_s: float = 60.0) -> DataFrame:
+    """Resolve the overlaps of each recording's clips (columns of Clip) and number what is left.
+
+    No clip ends, and no motion stops, later than `reach_s` after its strike: clips after a longer pause of strikes are
+    resolved by themselves.
+    """
 
     def resolve(part: pd.DataFrame) -> pd.DataFrame:
         key = part[KEYS].iloc[0].tolist()
         names = ("strike", "start", "end", "stop", "uncapped", "confirmed", "confidence", "audio", "quiet", "review", "minimum")
         kept = resolve_overlaps([Clip(*row) for row in zip(*[part[n].tolist() for n in names])], strict)
-        rows = [(*key, i, x.strike, x.start, x.end, x.stop, x.confidence, x.review, x.notes.get("replaced"), x.notes.get("rejected")) for i, x in enumerate(kept, 1)]
+        rows = [(*key, 0, x.strike, x.start, x.end, x.stop, x.confidence, x.review, x.notes.get("replaced"), x.notes.get("rejected")) for x in kept]
         return pd.DataFrame(rows, columns=[*KEYS, *[n.split()[0] for n in SHOT_SCHEMA]])
 
-    return clips.groupBy(*KEYS).applyInPandas(resolve, _schema(clips, *SHOT_SCHEMA))
+    kept = in_pieces(clips, KEYS, "strike", reach_s, strictly=True).groupBy(*KEYS, "_piece").applyInPandas(resolve, _schema(clips, *SHOT_SCHEMA))
+    # Strikes of one recording differ, so their order is that of the numbers.
+    return numbered(written(kept.withColumn("t", F.col("strike")), "shots")).withColumn("shot_id", (F.col("_row") + 1).cast("int")).drop("t", "_row")
 
 
 def mark_replays(marks: DataFrame, c: Config = DEFAULT) -> DataFrame:
@@ -411,4 +438,6 @@ def mark_replays(marks: DataFrame, c: Config = DEFAULT) -> DataFrame:
                 live.append(i)
         return part[[*KEYS, "t"]].assign(replay=replay, replay_of=match)
 
-    return rows.groupBy(*KEYS).applyInPandas(link, _schema(rows, "t double", "replay boolean", "replay_of double"))
+    # After a longer pause no earlier candidate can be meant.
+    placed = in_pieces(rows, KEYS, "t", c.replay_max_s, strictly=True)
+    return placed.groupBy(*KEYS, "_piece").applyInPandas(link, _schema(rows, "t double", "replay boolean", "replay_of double"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chalkline.config import DEFAULT, Strike
 from chalkline.functions import predicates as p
+from chalkline.operators.sequence import join_by
 from chalkline.operators.timeline import KEYS
 
 _OVER = f"over (partition by {', '.join(KEYS)} order by t"
@@ -45,12 +46,21 @@ def local_normal(column: str, half: int = DEFAULT.strike.norm_rows) -> Column:
     return F.when(scale > 1e-8, F.least(F.lit(1.0), F.col(column) / scale)).otherwise(0.0)
 
 
-def reliable_tracks() -> Column:
-    """Whether a recording has enough reliable cue-ball tracks: then onsets are found by the cue ball's motion."""
-    whole = Window.partitionBy(*KEYS)
+#: How far around a row these look: rows for the local normal of an onset, seconds for the moments before and after.
+ONSET_ROWS = DEFAULT.strike.norm_rows + 1
+MOMENT_S = max(DEFAULT.strike.quiet_s, DEFAULT.strike.post_s, 0.20)
+SPARSE_S = max(DEFAULT.strike.sparse_pre_s, DEFAULT.strike.sparse_post_s)
+
+
+def with_tracks(tl: DataFrame) -> DataFrame:
+    """Adds `by_tracks`: a recording has enough reliable cue-ball tracks, so onsets are found by the cue ball's motion.
+
+    Recordings are counted with map-side combine; one row of each goes back to its rows.
+    """
     good = (F.col("cue_ball_track_confidence") >= DEFAULT.strike.track_confidence) & (F.col("ball_diameter_px") > 0.5)
-    need = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(whole) / 20)))
-    return F.count_if(good).over(whole) >= need
+    counts = tl.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.count_if(good).alias("_good"))
+    need = F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.col("_n") / 20)))
+    return join_by(tl, counts.select(*KEYS, (F.col("_good") >= need).alias("by_tracks")), KEYS)
 
 
 def crossings_and_peaks(column: str, threshold: float) -> tuple[Column, Column]:
@@ -253,9 +263,9 @@ def onset_confirmed(s: Strike = DEFAULT.strike) -> Column:
 
 
 def strike_score(metrics: DataFrame, s: Strike = DEFAULT.strike) -> DataFrame:
-    """Adds `strike_score` to rows with transition metrics, and `by_tracks`, `confirmed`."""
+    """Adds `strike_score` and `confirmed` to rows with transition metrics and `by_tracks`."""
     c = F.col
-    rows = metrics.withColumns({"onset": motion_onset(), "by_tracks": reliable_tracks(), "confirmed": transition_confirmed(s)})
+    rows = (metrics if "by_tracks" in metrics.columns else with_tracks(metrics)).withColumns({"onset": motion_onset(), "confirmed": transition_confirmed(s)})
     generic = s.residual_weight * local_normal("onset", s.norm_rows) + s.view_weight * p.clip(c("table_confidence") + 0.15)
     tracked = (
         0.45 * generic + 0.34 * p.clip(c("acceleration") / 4.0) + 0.22 * c("sustained_ratio") + 0.10 * c("stationary_ratio") + 0.08 * c("track") + 0.06 * c("contact")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions import predicates as p
 from chalkline.operators import joins, rules, scenes, shots as sh, windows as w
+from chalkline.operators.pieces import by_pieces
 from chalkline.operators.timeline import KEYS, micro
 from chalkline.plans import base_sql as b
 from chalkline.plans.shot_queries import _CAND, _SHOTS, _SPANS, _TIMES, _spaced, candidates, clean_shots, clips, in_recordings, refined_candidates, us
@@ -57,8 +58,9 @@ def repaired_views(spark, folder):
 
 def confirmed_cuts(spark, folder):
     """Cuts and confirmed fades; the cut score is the distance to the row before, that two rows back their sum."""
-    rows = tl(spark, folder, "scene_cut_score").withColumn("two", F.least(F.lit(1.0), c("scene_cut_score") + F.coalesce(F.lag("scene_cut_score").over(w.ordered()), F.lit(0.0))))
-    return rules.confirmed_cuts(rows, "scene_cut_score", "two").where("cut").select("job_id", micro("t").alias("t_us"))
+    two = F.least(F.lit(1.0), c("scene_cut_score") + F.coalesce(F.lag("scene_cut_score").over(w.ordered()), F.lit(0.0)))
+    rows = by_pieces(tl(spark, folder, "scene_cut_score"), lambda x: rules.confirmed_cuts(x.withColumn("two", two), "scene_cut_score", "two").where("cut"), 0.0, 2)
+    return rows.select("job_id", micro("t").alias("t_us"))
 
 
 def scene_segments(spark, folder):
@@ -69,7 +71,7 @@ def scene_segments(spark, folder):
 
 def stable_speeds(spark, folder):
     """Speed of the cue ball from its place over the last 0.24 s."""
-    return rules.stable_speed(tl(spark, folder, "cue_ball_x", "cue_ball_y", "ball_diameter_px")).select("job_id", micro("t").alias("t_us"), F.rint(c("stable_speed") * 1000).cast("bigint").alias("stable_speed_e3"))
+    return by_pieces(tl(spark, folder, "cue_ball_x", "cue_ball_y", "ball_diameter_px"), rules.stable_speed, 0.24).select("job_id", micro("t").alias("t_us"), F.rint(c("stable_speed") * 1000).cast("bigint").alias("stable_speed_e3"))
 
 
 def sampled_rows(spark, folder):

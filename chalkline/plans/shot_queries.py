@@ -10,10 +10,12 @@ from chalkline.functions import predicates as p
 from chalkline.functions import scalars
 from chalkline.operators import edits, evaluate, folds, joins, shots as sh, stateful, windows as w
 from chalkline.operators.intervals import merge_intervals
+from chalkline.operators.pieces import by_pieces
 from chalkline.operators.sequence import sittings, to_ms
 from chalkline.operators.timeline import KEYS, finite, micro
 from chalkline.plans import base_sql as b
 from chalkline.plans.timeline_queries import _TRANS, detect, tl
+from chalkline.session import cut
 from chalkline.sources import sinks
 from chalkline.sources.tables import load
 
@@ -92,7 +94,7 @@ def near_cuts(spark, folder):
 
 def audio_near(spark, folder):
     """Loudest onset within 0.12 s of each sample, and the onset of the last sample of the coarse layer before it."""
-    rows = tl(spark, folder, "audio_onset").withColumn("peak", w.seconds_frame("max(audio_onset)", 0.12, 0.12))
+    rows = by_pieces(tl(spark, folder, "audio_onset"), lambda x: x.withColumn("peak", w.seconds_frame("max(audio_onset)", 0.12, 0.12)), 0.12)
     coarse = rows.where("layer = 'coarse'").select(*KEYS, F.col("t").alias("at"), F.col("audio_onset").alias("before"))
     asof = joins.last_before(rows.select(*KEYS, "t", "peak"), coarse, KEYS, "t", "at", ["before"])
     return asof.select("job_id", micro("t").alias("t_us"), *us("peak", "before"))
@@ -102,7 +104,7 @@ def audio_seeds(spark, folder):
     """Audio peaks with no candidate within 1.5 s, none within 1.5 s of an earlier seed."""
     rows = tl(spark, folder, "audio_onset", "audio_highband").withColumn("score", p.clip(F.greatest("audio_onset", "audio_highband")))
     _, peak = w.crossings_and_peaks("score", 0.30)
-    peaks = folds.strongest(rows.withColumn("peak", peak).where("peak"), "score", 1.2).select(*KEYS, "t")
+    peaks = folds.strongest(by_pieces(rows, lambda x: x.withColumn("peak", peak).where("peak"), 0.0), "score", 1.2).select(*KEYS, "t")
     marks = candidates(spark, folder).select("job_id", F.col("t").alias("at"))
     free = joins.nearest(peaks, marks, ["job_id"], "t", "at", 1.5).where("nearest_at is null")
     return folds.spaced(free, 1.5, "t").select("job_id", micro("t").alias("t_us"))
@@ -153,10 +155,11 @@ def smoothed_motion(spark, folder):
 
 
 def stops(spark, folder):
-    rows = tl(spark, folder)
+    """The timeline, the candidates in it and the stops after them: each used several times, so each is written once."""
+    rows = cut(tl(spark, folder), "timeline")
     marks = folds.merge_near(candidates(spark, folder), 1.2, "t", "confidence", "evidence", ["candidate_id"])
-    marks = in_recordings(marks, rows, "t")
-    return rows, marks, stateful.find_stops(rows, marks)
+    marks = cut(in_recordings(marks, rows, "t"), "marks")
+    return rows, marks, cut(stateful.find_stops(rows, marks), "stops")
 
 
 def motion_stops(spark, folder):
@@ -168,8 +171,8 @@ def motion_stops(spark, folder):
 def clips_of(mode: str):
     def query(spark, folder):
         rows, marks, found = stops(spark, folder)
-        cut = sh.clip_bounds(found.join(marks.select(*KEYS, "t", "confidence"), [*KEYS, "t"]), rows, recordings(rows), mode)
-        return cut.select("job_id", *us("strike", "start", "end", "stop"), "confirmed", "review")
+        clip = sh.clip_bounds(found.join(marks.select(*KEYS, "t", "confidence"), [*KEYS, "t"]), rows, recordings(rows), mode)
+        return clip.select("job_id", *us("strike", "start", "end", "stop"), "confirmed", "review")
 
     query.__name__ = f"clips_{mode}"
     query.__doc__ = f"Clips around the candidates in the mode {mode}, before overlaps are resolved."
@@ -180,8 +183,8 @@ def shots_of(mode: str):
     def query(spark, folder):
         rows, marks, found = stops(spark, folder)
         facts = marks.select(*KEYS, "t", "confidence", F.coalesce(F.col("evidence")["audio_onset"], F.lit(0.0)).alias("audio"), F.coalesce(F.col("evidence")["pre_ball_quiet_ratio"], F.lit(0.0)).alias("quiet"))
-        cut = sh.clip_bounds(found.join(facts, [*KEYS, "t"]), rows, recordings(rows), mode)
-        clip = cut.select(*KEYS, "strike", "start", "end", "stop", "uncapped", "confirmed", "confidence", "audio", "quiet", "review", "minimum")
+        clip = sh.clip_bounds(found.join(facts, [*KEYS, "t"]), rows, recordings(rows), mode)
+        clip = clip.select(*KEYS, "strike", "start", "end", "stop", "uncapped", "confirmed", "confidence", "audio", "quiet", "review", "minimum")
         done = stateful.resolve_shots(clip, mode == "strict")
         return done.select("job_id", "shot_id", *us("strike", "clip_start", "clip_end", "stop"), "review", *us("replaced", "rejected"))
 
@@ -192,8 +195,8 @@ def shots_of(mode: str):
 
 def detected_stops(spark, folder):
     """Stops after the onsets that the timeline itself shows."""
-    rows = tl(spark, folder)
-    found = stateful.find_stops(rows, detect(rows))
+    rows = cut(tl(spark, folder), "timeline")
+    found = stateful.find_stops(rows, cut(detect(rows).select(*KEYS, "t"), "onsets"))
     return found.select("job_id", micro("t").alias("t_us"), micro("stop").alias("stop"), "confirmed", "stop_reason")
 
 
@@ -214,7 +217,8 @@ def refine_windows(spark, folder):
 
 def refined_candidates(spark, folder):
     """Candidates moved to the first sample within 0.5 s that shows the transition; others lose a quarter of their confidence."""
-    rows = w.transition_metrics(tl(spark, folder)).withColumns({"first": F.lag("t").over(w.ordered()).isNull(), "fits": w.transition_confirmed() | w.sparse_dense_confirmed()})
+    first = F.lag("t").over(w.ordered()).isNull()
+    rows = by_pieces(tl(spark, folder), lambda x: w.transition_metrics(x).withColumns({"first": first, "fits": w.transition_confirmed() | w.sparse_dense_confirmed()}), w.MOMENT_S)
     fits = rows.where("fits and not first").select("job_id", F.col("t").alias("_t"))
     marks = candidates(spark, folder).select("candidate_id", "job_id", F.col("t").alias("at"), "confidence", F.greatest(F.lit(0.0), F.col("t") - 0.5).alias("lo"), (F.col("t") + 0.5).alias("hi"))
     moved = joins.within(fits, marks, ["job_id"], "_t", "lo", "hi").groupBy("candidate_id").agg(F.min("_t").alias("to"))
@@ -225,7 +229,7 @@ def refined_candidates(spark, folder):
 
 def replay_links(spark, folder):
     """Candidates that repeat an earlier one."""
-    rows = tl(spark, folder, "motion_score", "view_type", "scene_cut_score")
+    rows = cut(tl(spark, folder, "motion_score", "view_type", "scene_cut_score"), "timeline")
     marks = in_recordings(candidates(spark, folder).select("job_id", "t", "confidence"), rows, "t").groupBy(*KEYS, "t").agg(F.max("confidence").alias("confidence"))
     signed = sh.signatures(marks, rows)
     wide = marks.select(*KEYS, "t", (F.col("t") - 1.0).alias("lo"), (F.col("t") + 1.0).alias("hi")).withColumnRenamed("t", "at")
@@ -442,7 +446,7 @@ c_k as (select job_id, i, t kt, confidence ks, candidate_id kc, 0 step from c_n
 c_g as (select *, sum(step) over (partition by job_id order by i) g from c_k), mi as (select job_id, max_by(kt, i) t, max_by(kc, i) id from c_g group by job_id, g)"""
 _TL = b.TIMELINE.replace("with ", "with recursive ", 1)
 _RANGES = b.TIMELINE + f""", {_SHOTS}, z as (select job_id, max(t) source_s from tl group by all),
-rg as (select cs.*, source_s, max(clip_end) over (o rows between unbounded preceding and 1 preceding) reach, row_number() over o nth from cs left join z using (job_id) window o as (partition by job_id order by clip_start nulls first, clip_end nulls first, shot_id)),
+rg as (select cs.*, source_s, max(case when clip_start is not null then clip_end end) over (o rows between unbounded preceding and 1 preceding) reach, row_number() over o nth from cs left join z using (job_id) window o as (partition by job_id order by clip_start nulls first, clip_end nulls first, shot_id)),
 rv as (select *, case when clip_start is null or clip_end is null then 'missing' when clip_start < -1e-3 or clip_end > greatest(0, source_s) + 1e-3 then 'outside'
   when least(clip_end, source_s) - greatest(0, clip_start) < 0.05 then 'too short' when reach is not null and greatest(0, clip_start) < least(reach, source_s) - 1e-3 then 'overlap' when nth > 200 then 'too many' end violation from rg)"""
 _RATIO_SQL = ", ".join(_M(f'"{r}"', f'"{r}"') for r in _RATIOS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chalkline.config import DEFAULT
 from chalkline.functions import predicates as p
 from chalkline.operators import folds, windows as w
+from chalkline.operators.pieces import by_pieces
 from chalkline.operators.timeline import COLUMNS, KEYS, micro, timeline
 from chalkline.plans import base_sql as b
 from chalkline.sources.tables import load
@@ -56,7 +57,7 @@ def view_classes(spark, folder):
 
 def recording_facts(spark, folder):
     """Per recording: rows, whether tracks are reliable, shares of replay and green rows, whether replay labels are repaired."""
-    whole = tl(spark, folder, "view_type", "green_ratio", "cue_ball_track_confidence", "ball_diameter_px").withColumn("by_tracks", w.reliable_tracks())
+    whole = tl(spark, folder, "view_type", "green_ratio", "cue_ball_track_confidence", "ball_diameter_px").transform(w.with_tracks)
     replay, green = F.avg(p.flag(F.col("view_type").isin(*p.REPLAYS))), F.avg(p.flag(F.col("green_ratio") >= 0.18))
     return whole.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n"), F.first("by_tracks").alias("by_tracks"), micro(replay).alias("replay_share"), micro(green).alias("green_share"),
@@ -66,39 +67,41 @@ def recording_facts(spark, folder):
 
 def local_normals(spark, folder):
     """Rise of the raw motion, and that rise against the 95th percentile of the 41 rows around."""
-    rows = tl(spark, folder, "motion_raw").withColumn("onset", w.motion_onset())
-    return rows.select(*at(), micro("onset").alias("onset"), micro(w.local_normal("onset")).alias("onset_norm"))
+    rows = by_pieces(tl(spark, folder, "motion_raw"), lambda x: x.withColumn("onset", w.motion_onset()).withColumn("norm", w.local_normal("onset")), 0.0, w.ONSET_ROWS)
+    return rows.select(*at(), micro("onset").alias("onset"), micro("norm").alias("onset_norm"))
 
 
 def sparse_window_metrics(spark, folder):
     """What the thin timeline says about an onset at each row."""
-    rows = w.sparse_windows(tl(spark, folder))
+    rows = by_pieces(tl(spark, folder), w.sparse_windows, w.SPARSE_S)
     return rows.select(*at(), "pre_n", micro("pre_median").alias("pre_median"), "post_n", "active", "ball_active", micro("peak").alias("peak"), "proposed", micro("score").alias("score"))
 
 
 def sparse_candidates(spark, folder):
     """Onset proposals of the thin timeline, suppressed to one in 1.2 s."""
-    rows = w.sparse_windows(tl(spark, folder)).where("proposed")
+    rows = by_pieces(tl(spark, folder), lambda x: w.sparse_windows(x).where("proposed"), w.SPARSE_S)
     return folds.suppress(rows, "score", DEFAULT.strike.spacing_s).select(*at(), micro("score").alias("score"))
 
 
 def quiet_before(spark, folder):
     """Whether the half second before each row was quiet."""
-    rows = tl(spark, folder).withColumn("valid", p.valid_strike())
-    return rows.select(*at(), w.pre_quiet().alias("quiet"))
+    rows = by_pieces(tl(spark, folder).withColumn("valid", p.valid_strike()), lambda x: x.withColumn("quiet", w.pre_quiet()), w.MOMENT_S)
+    return rows.select(*at(), "quiet")
 
 
 def audio_peaks(spark, folder):
     """Local maxima of the audio score of 0.30 or more, the strongest first, none within 1.2 s of a stronger one."""
     rows = tl(spark, folder, "audio_onset", "audio_highband").withColumn("score", p.clip(F.greatest("audio_onset", "audio_highband")))
     crosses, peak = w.crossings_and_peaks("score", 0.30)
-    return folds.strongest(rows.withColumn("peak", peak).where("peak"), "score", 1.2).select(*at(), micro("score").alias("score"))
+    peaks = by_pieces(rows, lambda x: x.withColumn("peak", peak).where("peak"), 0.0)
+    return folds.strongest(peaks, "score", 1.2).select(*at(), micro("score").alias("score"))
 
 
 def score_crossings(spark, folder):
     """Rises over 0.35 and peaks of the stored strike score."""
     crosses, peak = w.crossings_and_peaks("strike_score", DEFAULT.strike.min_confidence)
-    return tl(spark, folder, "strike_score").withColumns({"crosses": crosses, "peak": peak}).where("crosses or peak").select(*at(), "crosses", "peak")
+    found = by_pieces(tl(spark, folder, "strike_score"), lambda x: x.withColumns({"crosses": crosses, "peak": peak}).where("crosses or peak"), 0.0)
+    return found.select(*at(), "crosses", "peak")
 
 
 FLOATS = ("stationary_ratio", "pre_quiet_ratio", "pre_raw_median", "pre_ball_quiet_ratio", "pre_ball_median", "sustained_ratio", "post_peak", "acceleration", "track", "contact", "approach", "displacement", "direction")
@@ -106,21 +109,21 @@ FLOATS = ("stationary_ratio", "pre_quiet_ratio", "pre_raw_median", "pre_ball_qui
 
 def transitions(spark, folder):
     """The moments before and after each row, as a stroke would show them."""
-    rows = w.transition_metrics(tl(spark, folder))
+    rows = by_pieces(tl(spark, folder), w.transition_metrics, w.MOMENT_S)
     out = [micro(c).alias(c) if c in FLOATS else F.col(c) for c in w.TRANSITION]
     return rows.select(*at(), *out, w.transition_confirmed().alias("confirmed"), w.sparse_dense_confirmed().alias("sparse_confirmed"))
 
 
 def hidden_onsets(spark, folder):
     """What speaks for a stroke with the cue ball hidden."""
-    rows = w.onset_metrics(tl(spark, folder))
+    rows = by_pieces(tl(spark, folder), w.onset_metrics, w.MOMENT_S)
     floats = ("quiet", "raw_median", "ball_quiet", "ball_median", "onset_raw", "onset_speed", "onset_residual", "reliable_still")
     return rows.select(*at(), *[micro(c).alias(c) if c in floats else F.col(c) for c in w.ONSET], w.onset_confirmed().alias("confirmed"))
 
 
 def strike_scores(spark, folder):
     """The strike score of each row, computed anew."""
-    rows = w.strike_score(w.transition_metrics(tl(spark, folder)))
+    rows = by_pieces(w.with_tracks(tl(spark, folder)), lambda x: w.strike_score(w.transition_metrics(x)), w.MOMENT_S, w.ONSET_ROWS)
     return rows.select(*at(), "by_tracks", "confirmed", micro("strike_score").alias("strike_score"))
 
 
@@ -132,10 +135,15 @@ def strike_detections(spark, folder):
 def detect(rows: DataFrame) -> DataFrame:
     """Onset candidates of a timeline: KEYS, `t`, `strike_score`, `confidence`, `kind`."""
     s = DEFAULT.strike
-    scored = w.onset_metrics(w.strike_score(w.transition_metrics(rows)))
     crosses, peak = w.crossings_and_peaks("strike_score", s.min_confidence)
     first = F.lag("t").over(w.ordered()).isNull()
-    scored = scored.withColumns({"hidden": w.onset_confirmed(), "by_score": (crosses | peak) & w.pre_quiet(), "first": first})
+
+    def scores(piece: DataFrame) -> DataFrame:
+        scored = w.onset_metrics(w.strike_score(w.transition_metrics(piece)))
+        return scored.withColumns({"hidden": w.onset_confirmed(), "by_score": (crosses | peak) & w.pre_quiet(), "first": first})
+
+    # Scores of the rows beside a row are compared, so what these see must be there, too.
+    scored = by_pieces(w.with_tracks(rows), scores, w.MOMENT_S, 2 * w.ONSET_ROWS)
     kind = (
         F.when(F.col("by_tracks") & F.col("confirmed") & ~F.col("first"), "transition")
         .when(F.col("by_tracks") & F.col("hidden") & ~F.col("first"), "hidden")
