@@ -35,9 +35,10 @@ def numbered(rows: DataFrame) -> DataFrame:
     return join_by(placed, before, by).withColumn("_row", F.col("_base") + inside).drop("_base", "_shard")
 
 
-def cut_pieces(rows: DataFrame, reach_s: float, reach_rows: int = 1, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+def cut_pieces(rows: DataFrame, reach_s: float, reach_rows: int = 1, size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows by piece, those of the neighbours that can be seen marked `_halo`, with the piece in place of `sitting`; and
     the pieces: KEYS (the recording's), `_piece`, first and last `t` (`_first`, `_last`), and where the next begins (`_begins`)."""
+    size = size or SIZE
     # The rows are counted, numbered and spread: they are computed once and written to the shared folder.
     near = cut(rows, "rows")
     near = (near if "_row" in rows.columns else numbered(near)).withColumns({"_piece": F.floor(F.col("_row") / size), "_at": F.pmod("_row", F.lit(size))})
@@ -68,10 +69,10 @@ def in_piece(events: DataFrame, pieces: DataFrame, t: str) -> DataFrame:
     return found.withColumn("sitting", F.col("sitting") * _PIECES + F.col("_piece")).drop("_piece", "_lo", "_hi")
 
 
-def by_pieces(rows: DataFrame, step: Callable[[DataFrame], DataFrame], reach_s: float, reach_rows: int = 1, size: int = SIZE) -> DataFrame:
+def by_pieces(rows: DataFrame, step: Callable[[DataFrame], DataFrame], reach_s: float, reach_rows: int = 1, size: int | None = None) -> DataFrame:
     """`step` over the pieces of each recording: a function of KEYS and `t` that keeps `_halo` and whose result for a row
     depends on the rows at most `reach_s` seconds or `reach_rows` rows away.
 
-    `step` may drop rows. No more than a piece's worth of rows may lie within `reach_s` seconds.
+    `step` may drop rows. A piece holds at least the rows that lie within reach.
     """
     return of_recordings(step(cut_pieces(rows, reach_s, reach_rows, size)[0]).where("not _halo").drop("_halo"))
