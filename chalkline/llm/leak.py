@@ -74,6 +74,8 @@ NONE = 10_000
 DRIFT = 64
 #: Places among the items that are looked at in one go.
 EXPANDED = 4_000_000
+#: Pairs of words that are looked at in one go.
+PAIRS = 1_000_000
 _TABLE_BITS = 20
 
 
@@ -481,10 +483,16 @@ def _admissible(known, rare, min_words, error_share):
     bad = np.concatenate([[0], np.cumsum(~known)])
     named = np.concatenate([[0], np.cumsum(rare)])
     met = np.concatenate([[0], np.cumsum(rare & known)])
-    a, b = hits[:, None], hits[None, :] + 1
-    size = b - a
-    fine = (size >= min_words) & ((bad[b] - bad[a]) * error_share <= size) & (2 * (met[b] - met[a]) >= named[b] - named[a])
-    return int(size[fine].max()) if fine.any() else 0
+    best, step = 0, max(1, PAIRS // len(hits))
+    # Beginnings in order, as many at once as memory allows, until no later one can give a longer run.
+    for k in range(0, len(hits), step):
+        if hits[-1] + 1 - hits[k] <= best:
+            break
+        a, b = hits[k : k + step, None], hits[None, k:] + 1
+        size = b - a
+        fine = (size >= max(min_words, best + 1)) & ((bad[b] - bad[a]) * error_share <= size) & (2 * (met[b] - met[a]) >= named[b] - named[a])
+        best = int(size[fine].max()) if fine.any() else best
+    return best
 
 
 def _items_of(shared) -> Items:

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from chalkline.llm import leak
 from chalkline.llm.leak import MATCH, Items, WuManber, find_leaks, leaked_items, squash
 
 SYLLABLES = "ka lo mi re tu sa ven dor pil gar nes bo ti ru".split()
@@ -109,3 +110,19 @@ def test_fewest_finds_of_a_passage():
         assert exact[a] == max(min(kept), 1)
         assert around[a] == min(exact[: a + 1])
     assert (exact[7:15] > 1000).all()
+
+
+def test_longest_run_in_pieces_of_a_long_item(monkeypatch):
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        known, rare = rng.random(200) < 0.9, rng.random(200) < 0.2
+        whole = leak._admissible(known, rare, 25, 8)
+        best = 0
+        for a in range(200):
+            for b in range(a + 25, 201):
+                if known[a] and known[b - 1] and (~known[a:b]).sum() * 8 <= b - a and 2 * (known & rare)[a:b].sum() >= rare[a:b].sum():
+                    best = max(best, b - a)
+        assert whole == best
+        monkeypatch.setattr(leak, "PAIRS", 1000)
+        assert leak._admissible(known, rare, 25, 8) == best
+        monkeypatch.undo()
